@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, classifier, packing, quality_rules, token_counts, url_filter
+from tideline.llm import bpe, classifier, html_text, near_dedup, packing, quality_rules, token_counts, url_filter
 from tideline.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +38,5 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_html_text, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL}
