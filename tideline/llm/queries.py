@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, classifier, html_text, near_dedup, packing, quality_rules, token_counts, url_filter
+from tideline.llm import bpe, classifier, fingerprints, html_text, near_dedup, packing, quality_rules, token_counts, url_filter
 from tideline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_html_text, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_html_text, op4_fingerprints, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL}
