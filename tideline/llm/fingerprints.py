@@ -1,9 +1,9 @@
 """Operator 4: document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
 A text is the set of digests of its paragraphs. A sketch deals them to blocks of 18 cells; a digest goes to one cell of each
-third of its block, and a cell holds how many came, the exclusive or of them and of their checks. Two sketches of one size
-subtract cell by cell; cells that hold a single digest then give it up, which empties others (peeling), until the digests
-that differ are known. If a block keeps some, both are sketched larger and peeled again. Likeness is shared over all digests.
+third of its block, and a cell holds the exclusive or of its digests, whose last bits check the first and so tell a single
+digest from several. Two sketches of one size subtract cell by cell; cells that hold a single digest then give it up, which
+empties others (peeling), until the digests that differ are known. If a block keeps some, both are sketched larger and peeled again. Likeness is shared over all digests.
 
 The next document is found by a window within ranges of ids; the first row of a range also stands at the end of the range
 before it, so one shuffle of the texts is enough and no range is a whole table.
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells of a third of a block; digests a block is sized for; rounds of peeling; enlargements, each by four.
-THIRD, LOAD, ROUNDS, TRIES = 6, 16, 7, 4
+THIRD, LOAD, ROUNDS, TRIES = 6, 12, 8, 4
+#: Bits of a digest that check the others.
+CHECK = (1 << 24) - 1
 #: Paragraphs over this many characters are cut after sentences.
 LONG_PARAGRAPH = 400
 #: Rows of a range of ids, and ranges at most.
@@ -25,9 +27,14 @@ RANGE_ROWS, MOST_RANGES = 400, 20_000
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs that have a word, in order."""
+    """Distinct digests of the paragraphs that have a word, in order: 40 bits of hash, then 24 that check them."""
     cut = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.when(F.length(p) > LONG_PARAGRAPH, F.split(p, r"(?<=[.!?])[ \t]+")).otherwise(F.array(p))))
-    return F.array_distinct(F.transform(F.filter(cut, lambda p: F.length(F.btrim(p, F.lit(" \t\r\x0b\x0c"))) > 0), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.filter(cut, lambda p: F.length(F.btrim(p, F.lit(" \t\r\x0b\x0c"))) > 0), lambda p: _checked(F.xxhash64(p))))
+
+
+def _checked(h: Column) -> Column:
+    high = h.bitwiseAND(F.lit(~CHECK))
+    return high.bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit(CHECK)))
 
 
 def blocks_for(n: Column) -> Column:
@@ -35,90 +42,84 @@ def blocks_for(n: Column) -> Column:
     return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.ceil(n / LOAD), F.lit(1))))).cast("int")
 
 
-def _placed(k: Column) -> Column:
-    at = [(F.pmod(F.shiftrightunsigned(k, 16 * i + 12), F.lit(THIRD).cast("long")) + THIRD * i).cast("int") for i in range(3)]
-    return F.struct(k.alias("k"), F.xxhash64(k).alias("x"), *(p.alias(f"p{i}") for i, p in enumerate(at)))
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _hits(e: Column, j: Column) -> Column:
-    return (e["p0"] == j) | (e["p1"] == j) | (e["p2"] == j)
+def _placed(k: Column) -> Column:
+    """A digest and its cell in each third of a block."""
+    at = [(F.pmod(F.shiftrightunsigned(k, 9 * i + 36), F.lit(THIRD)) + THIRD * i).cast("int") for i in range(3)]
+    return F.struct(k.alias("k"), *(p.alias(f"p{i}") for i, p in enumerate(at)))
 
 
-def _xor(entries: Column, field: str, first: Column) -> Column:
-    return F.aggregate(entries, first, lambda a, e: a.bitwiseXOR(e[field]))
+def _into(cell: Column, j: Column, entries: Column) -> Column:
+    """The cell after the entries that belong to it are added, or taken out: both are exclusive or."""
+    hit = lambda e: (e["p0"] == j) | (e["p1"] == j) | (e["p2"] == j)
+    return F.aggregate(entries, cell, lambda a, e: F.when(hit(e), a.bitwiseXOR(e["k"])).otherwise(a))
 
 
 def sketch(keys: Column, blocks: Column) -> Column:
-    """array (block) of arrays (cell) of struct(c, k, x)."""
+    """array (block) of arrays (cell) of long."""
     zero = F.lit(0).cast("long")
+    outer = F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("int")  # keys are dealt twice, each time to about the root of all blocks
+    digits = lambda k: F.shiftrightunsigned(k, 24)
 
-    def block(b: Column) -> Column:
-        own = F.array(F.transform(F.filter(keys, lambda k: F.pmod(k, blocks.cast("long")) == b), _placed))
-
-        def cell(entries: Column, j: Column) -> Column:
-            mine = F.array(F.filter(entries, lambda e: _hits(e, j)))
-            return F.get(F.transform(mine, lambda m: F.struct(F.size(m).alias("c"), _xor(m, "k", zero).alias("k"), _xor(m, "x", zero).alias("x"))), F.lit(0))
+    def block(own: Column) -> Column:
+        return _bound(F.transform(own, _placed), lambda entries: F.transform(F.sequence(F.lit(0), F.lit(3 * THIRD - 1)), lambda j: _into(zero, j, entries)))
 
-        return F.get(F.transform(own, lambda entries: F.transform(F.sequence(F.lit(0), F.lit(3 * THIRD - 1)), lambda j: cell(entries, j))), F.lit(0))
+    def group(g: Column) -> Column:
+        some = F.filter(keys, lambda k: F.pmod(digits(k), outer.cast("long")) == g)
+        inner = (blocks / outer).cast("long")
+        dealt = lambda some: F.transform(F.sequence(F.lit(0), (inner - 1).cast("int")), lambda b: block(F.filter(some, lambda k: F.pmod(F.floor(digits(k) / outer), inner) == b)))
+        return _bound(some, dealt)
 
-    return F.transform(F.sequence(F.lit(0), blocks - 1), block)
+    return F.flatten(F.transform(F.sequence(F.lit(0), outer - 1), group))
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Cell by cell; the sketches have one size."""
-    cell = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["x"].bitwiseXOR(y["x"]).alias("x"))
-    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, cell))
+    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda c, e: c.bitwiseXOR(e)))
 
 
 def peel(difference: Column) -> Column:
-    """struct(done, found) of every block: the digests that differ, and whether no cell is left."""
-    def pure(cells: Column) -> Column:
-        return F.filter(cells, lambda c: (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"]) == c["x"]))
+    """array<long> of every block: the digests that differ, or null if cells are left."""
 
     def once(state: Column) -> Column:
-        entries = F.transform(
-            pure(state["cells"]),
-            lambda c: F.struct(_placed(c["k"]).alias("e"), c["c"].alias("c")),
-        )
+        single = F.array_distinct(F.filter(state["cells"], lambda c: (c != 0) & (_checked(c) == c)))
 
-        def without(found: Column) -> Column:
-            # One digest may be pure in several cells; it is taken once.
-            each = F.filter(found, lambda f, i: F.array_position(F.transform(found, lambda g: g["e"]["k"]), f["e"]["k"]) == i + 1)
+        def without(fresh: Column) -> Column:
+            cells = F.transform(state["cells"], lambda c, j: _into(c, j, fresh))
+            return F.struct(cells.alias("cells"), F.concat(state["found"], F.transform(fresh, lambda e: e["k"])).alias("found"), (F.size(fresh) == 0).alias("still"))
 
-            def clean(fresh: Column) -> Column:
-                cells = F.transform(
-                    state["cells"],
-                    lambda c, j: F.aggregate(
-                        F.filter(fresh, lambda f: _hits(f["e"], j)), c,
-                        lambda a, f: F.struct((a["c"] - f["c"]).alias("c"), a["k"].bitwiseXOR(f["e"]["k"]).alias("k"), a["x"].bitwiseXOR(f["e"]["x"]).alias("x")),
-                    ),
-                )
-                return F.struct(cells.alias("cells"), F.concat(state["found"], F.transform(fresh, lambda f: f["e"]["k"])).alias("found"), (F.size(fresh) == 0).alias("still"))
-
-            return F.get(F.transform(F.array(each), clean), F.lit(0))
-
-        return F.get(F.transform(F.array(entries), without), F.lit(0))
+        return _bound(F.transform(single, _placed), without)
 
     def block(cells: Column) -> Column:
-        begin = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("still"))
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: F.when(s["still"], s).otherwise(once(s)))
-        done = lambda s: F.forall(s["cells"], lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["x"] == 0))
-        return F.get(F.transform(F.array(end), lambda s: F.struct(done(s).alias("done"), s["found"].alias("found"))), F.lit(0))
+        begin = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.forall(cells, lambda c: c == 0).alias("still"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(ROUNDS)), begin,
+            lambda s, _: F.when(s["still"], s).otherwise(once(s)),
+            lambda s: F.when(F.forall(s["cells"], lambda c: c == 0), s["found"]),
+        )
 
     return F.transform(difference, block)
 
 
-def differing(a: Column, b: Column, blocks: Column) -> Column:
-    """Digests that only one of the sets has, by sketches of this size; null if some can't be peeled."""
-    peeled = F.array(peel(subtract(sketch(a, blocks), sketch(b, blocks))))
-    return F.get(F.transform(peeled, lambda p: F.when(F.forall(p, lambda x: x["done"]), F.flatten(F.transform(p, lambda x: x["found"])))), F.lit(0))
+def peeled_count(a: Column, b: Column) -> Column:
+    """How many digests only one of two sketches has; null if a block keeps some."""
+    total = lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.aggregate(p, F.lit(0), lambda n, x: n + F.size(x)))
+    return _bound(peel(subtract(a, b)), total)
 
 
-def difference_size(a: Column, b: Column, size: Column) -> Column:
-    """How many digests differ, enlarging the sketches by four on failure; past the last size the sets themselves tell."""
-    tries = [F.size(differing(a, b, size * 4**i)) for i in range(TRIES)]
-    tries = [F.when(t >= 0, t) for t in tries]
-    return F.coalesce(F.when(a == b, F.lit(0)), *tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+def difference_size(a: Column, b: Column, a_cells: Column, b_cells: Column, a_size: Column, b_size: Column) -> Column:
+    """How many digests differ: the sketches of the rows if their sizes agree, else and on failure larger ones by four.
+
+    Past the last size the sets themselves tell.
+    """
+    size = F.greatest(a_size, b_size)
+    own = peeled_count(F.when(a_size == size, a_cells).otherwise(sketch(a, size)), F.when(b_size == size, b_cells).otherwise(sketch(b, size)))
+    tries = [peeled_count(sketch(a, size * 4**i), sketch(b, size * 4**i)) for i in range(1, TRIES)]
+    return F.coalesce(F.when(a == b, F.lit(0)), own, *tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
 def likeness(a: Column, b: Column, d: Column) -> Column:
@@ -127,12 +128,11 @@ def likeness(a: Column, b: Column, d: Column) -> Column:
 
 
 def serialised(blocks: Column, cells: Column, digest: Column) -> Column:
-    one = lambda c: F.concat_ws(".", c["c"].cast("string"), F.hex(c["k"]), F.hex(F.shiftrightunsigned(c["x"], 32)))
-    return F.concat_ws(":", digest, blocks.cast("string"), F.array_join(F.transform(F.flatten(cells), one), ","))
+    return F.concat_ws(":", digest, blocks.cast("string"), F.array_join(F.transform(F.flatten(cells), lambda c: F.hex(c)), ","))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, keys and the text and keys of the next document by doc_id (after the last: the first)."""
+    """doc_id, text, keys, size, cells and the same (next) of the next document by doc_id (after the last: the first)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("at", F.coalesce("doc_id", F.lit(2**63 - 1)))
     n = d.count()
@@ -146,16 +146,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
     )
     bucket = F.aggregate(F.sequence(F.lit(1), F.lit(len(starts).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(starts)).alias("hi")), halve, lambda s: s["lo"])
-    d = d.withColumn("keys", paragraph_digests(F.col("text"))).withColumn("bucket", bucket)
+    d = d.withColumn("keys", paragraph_digests(F.col("text"))).withColumn("size", blocks_for(F.size("keys")))
+    d = d.withColumn("cells", sketch(F.col("keys"), F.col("size"))).withColumn("bucket", bucket)
     stand = lambda b, copy, wrap: F.struct(b.cast("int").alias("bucket"), F.lit(copy).alias("copy"), F.lit(wrap).alias("wrap"))
     stands = F.array_compact(F.array(
         stand(F.col("bucket"), False, False),
         F.when(F.get(cuts, F.col("bucket") - 1) == F.col("at"), stand(F.col("bucket") - 1, True, False)),
         F.when(F.col("at") == F.lit(row["least"]).cast("long"), stand(F.lit(len(starts)), True, True)),
     ))
-    d = d.withColumn("s", F.explode(stands)).select("doc_id", "text", "keys", "at", "s.bucket", "s.copy", "s.wrap")
+    d = d.withColumn("s", F.explode(stands)).select("doc_id", "text", "keys", "size", "cells", "at", "s.bucket", "s.copy", "s.wrap")
     order = Window.partitionBy("bucket").orderBy("wrap", "at", "text", "copy")
-    return d.withColumn("next", F.lead(F.struct("text", "keys")).over(order)).filter(~F.col("copy")).select("doc_id", "text", "keys", "next")
+    return d.withColumn("next", F.lead(F.struct("text", "keys", "size", "cells")).over(order)).filter(~F.col("copy")).select("doc_id", "text", "keys", "size", "cells", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,13 +170,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text").cast("long")
     quarter = F.floor(F.length("text") / 4).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next.text", F.lit(1), quarter)))
-    d = d.select("doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", F.col("next.keys").alias("next_keys"), paragraph_digests(F.col("edited")).alias("edited_keys"), F.md5(F.col("text").cast("binary")).alias("digest"), F.md5(F.col("edited").cast("binary")).alias("edited_digest"))
-    size = lambda c: blocks_for(F.size(c))
-    d = d.withColumns({"size": size("keys"), "edited_size": size("edited_keys"), "next_size": size("next_keys")})
-    d = d.withColumns({"cells": sketch(F.col("keys"), F.col("size")), "edited_cells": sketch(F.col("edited_keys"), F.col("edited_size"))})
+    d = d.select("doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "size", "cells", F.col("next.keys").alias("next_keys"), F.col("next.size").alias("next_size"), F.col("next.cells").alias("next_cells"), paragraph_digests(F.col("edited")).alias("edited_keys"), F.md5(F.col("text").cast("binary")).alias("digest"), F.md5(F.col("edited").cast("binary")).alias("edited_digest"))
+    d = d.withColumn("edited_size", blocks_for(F.size("edited_keys")))
+    d = d.withColumns({"edited_cells": sketch(F.col("edited_keys"), F.col("edited_size"))})
     d = d.withColumns({
-        "d_edited": difference_size(F.col("keys"), F.col("edited_keys"), F.greatest("size", "edited_size")),
-        "d_next": difference_size(F.col("keys"), F.col("next_keys"), F.greatest("size", "next_size")),
+        "d_edited": difference_size(*map(F.col, ("keys", "edited_keys", "cells", "edited_cells", "size", "edited_size"))),
+        "d_next": difference_size(*map(F.col, ("keys", "next_keys", "cells", "next_cells", "size", "next_size"))),
     })
     return d.select(
         "doc_id", "n_chars", "edited_sha256",
