@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, classifier, fingerprints, html_text, near_dedup, packing, quality_rules, token_counts, url_filter
+from tideline.llm import bpe, classifier, fingerprints, html_text, near_dedup, packing, quality_rules, substrings, token_counts, url_filter
 from tideline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_html_text, op4_fingerprints, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_html_text, op4_fingerprints, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL}
