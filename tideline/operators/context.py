@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.text import tokens
 
 #: tier -> tokens, shares of retrieval, history and generation.
-TIERS = {"basic": (4000, 0.30, 0.20, 0.50), "pro": (8000, 0.35, 0.25, 0.40), "enterprise": (16000, 0.40, 0.25, 0.35)}
+TIERS = {"basic": (4000, 0.30, 0.20, 0.50), "pro": (8000, 0.40, 0.20, 0.40), "enterprise": (16000, 0.50, 0.20, 0.30)}
 DAILY = {"basic": 3, "pro": 10}
 PER_WINDOW = {"basic": 30, "pro": 120}
 
@@ -37,13 +37,15 @@ def packed_context(hits: DataFrame, max_tokens: int) -> DataFrame:
 def budget(tier: Column, query: Column, tiers: dict = TIERS) -> Column:
     """struct(total, retrieval, history, generation) in tokens; long queries take from generation, which keeps a tenth."""
     def of(i: int) -> Column:
-        return F.create_map(*(F.lit(x) for k, v in tiers.items() for x in (k, float(v[i]))))[tier]
+        known = F.create_map(*(F.lit(x) for k, v in tiers.items() for x in (k, float(v[i]))))
+        return F.coalesce(known[tier], F.lit(float(next(iter(tiers.values()))[i])))
 
-    factor = F.when(F.length(query) == 0, 1.0).otherwise(F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.length(query) / 500.0)))
-    retrieval = of(1) * factor
-    generation = F.greatest(F.lit(0.1), 1 - retrieval - of(2))
+    empty = F.coalesce(F.length(query), F.lit(0)) == 0
+    factor = F.when(empty, 1.0).otherwise(F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.length(query) / 500.0)))
     part = lambda share: (of(0) * share).cast("int")
-    return F.struct(of(0).cast("int").alias("total"), part(retrieval).alias("retrieval"), part(of(2)).alias("history"), part(generation).alias("generation"))
+    rest = (of(0) - part(of(1) * factor) - part(of(2))) / of(0)
+    generation = F.when(empty, of(3)).otherwise(F.greatest(F.lit(0.1), rest))
+    return F.struct(of(0).cast("int").alias("total"), part(of(1) * factor).alias("retrieval"), part(of(2)).alias("history"), part(generation).alias("generation"))
 
 
 def citations(hits: DataFrame) -> DataFrame:

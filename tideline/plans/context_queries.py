@@ -36,8 +36,8 @@ def f2_packed_context(t):
     return cx.packed_context(_hits(t), 20000)
 
 
-@query("""SELECT conv_id, turn, CAST(total AS INTEGER) AS total, CAST(trunc(total * r * f) AS INTEGER) AS retrieval, CAST(trunc(total * h) AS INTEGER) AS history, CAST(trunc(total * greatest(0.1::DOUBLE, 1 - r * f - h)) AS INTEGER) AS generation FROM (
-SELECT conv_id, turn, CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE least(1.5::DOUBLE, greatest(0.5::DOUBLE, length(text) / 500.0::DOUBLE)) END AS f, CASE conv_id % 3 WHEN 0 THEN 4000.0::DOUBLE WHEN 1 THEN 8000.0::DOUBLE ELSE 16000.0::DOUBLE END AS total, CASE conv_id % 3 WHEN 0 THEN 0.30::DOUBLE WHEN 1 THEN 0.35::DOUBLE ELSE 0.40::DOUBLE END AS r, CASE conv_id % 3 WHEN 0 THEN 0.20::DOUBLE ELSE 0.25::DOUBLE END AS h FROM conversations WHERE role = 'user')""")
+@query("""SELECT conv_id, turn, CAST(total AS INTEGER) AS total, CAST(trunc(total * (r * f)) AS INTEGER) AS retrieval, CAST(trunc(total * h) AS INTEGER) AS history, CAST(trunc(total * CASE WHEN f0 THEN CASE total WHEN 4000 THEN 0.5::DOUBLE WHEN 8000 THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END ELSE greatest(0.1::DOUBLE, (total - trunc(total * (r * f)) - trunc(total * h)) / total) END) AS INTEGER) AS generation FROM (
+SELECT conv_id, turn, length(text) = 0 AS f0, CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE least(1.5::DOUBLE, greatest(0.5::DOUBLE, length(text) / 500.0::DOUBLE)) END AS f, CASE conv_id % 3 WHEN 0 THEN 4000.0::DOUBLE WHEN 1 THEN 8000.0::DOUBLE ELSE 16000.0::DOUBLE END AS total, CASE conv_id % 3 WHEN 0 THEN 0.30::DOUBLE WHEN 1 THEN 0.40::DOUBLE ELSE 0.50::DOUBLE END AS r, 0.20::DOUBLE AS h FROM conversations WHERE role = 'user')""")
 def f3_token_budget(t):
     tier = F.expr("CASE conv_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'pro' ELSE 'enterprise' END")
     return t.conversations.filter("role = 'user'").select("conv_id", "turn", cx.budget(tier, F.col("text")).alias("b")).select("conv_id", "turn", "b.*")
