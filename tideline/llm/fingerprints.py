@@ -3,7 +3,8 @@
 A text is the set of digests of its paragraphs. A sketch deals them to blocks of 18 cells; a digest goes to one cell of each
 third of its block, and a cell holds the exclusive or of its digests, whose last bits check the first and so tell a single
 digest from several. Two sketches of one size subtract cell by cell; cells that hold a single digest then give it up, which
-empties others (peeling), until the digests that differ are known. If a block keeps some, both are sketched larger and peeled again. Likeness is shared over all digests.
+empties others (peeling), until the digests that differ are known. If a block keeps some, its
+digests are sketched larger and peeled again. Likeness is shared over all digests.
 
 The next document is found by a window within ranges of ids; the first row of a range also stands at the end of the range
 before it, so one shuffle of the texts is enough and no range is a whole table.
@@ -59,22 +60,39 @@ def _into(cell: Column, j: Column, entries: Column) -> Column:
     return F.aggregate(entries, cell, lambda a, e: F.when(hit(e), a.bitwiseXOR(e["k"])).otherwise(a))
 
 
-def sketch(keys: Column, blocks: Column) -> Column:
+def _digits(k: Column, above: Column) -> Column:
+    """What deals a digest to blocks; digits that have dealt it to ``above`` blocks before are passed over."""
+    return F.floor(F.shiftrightunsigned(k, 24) / above)
+
+
+def _outer(blocks: Column) -> Column:
+    """Keys are dealt twice, each time to about the root of all blocks."""
+    return F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("long")
+
+
+def sketch(keys: Column, blocks: Column, above: Column | None = None) -> Column:
     """array (block) of arrays (cell) of long."""
     zero = F.lit(0).cast("long")
-    outer = F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("int")  # keys are dealt twice, each time to about the root of all blocks
-    digits = lambda k: F.shiftrightunsigned(k, 24)
+    above = F.lit(1) if above is None else above
+    outer = _outer(blocks)
 
     def block(own: Column) -> Column:
         return _bound(F.transform(own, _placed), lambda entries: F.transform(F.sequence(F.lit(0), F.lit(3 * THIRD - 1)), lambda j: _into(zero, j, entries)))
 
     def group(g: Column) -> Column:
-        some = F.filter(keys, lambda k: F.pmod(digits(k), outer.cast("long")) == g)
+        some = F.filter(keys, lambda k: F.pmod(_digits(k, above), outer) == g)
         inner = (blocks / outer).cast("long")
-        dealt = lambda some: F.transform(F.sequence(F.lit(0), (inner - 1).cast("int")), lambda b: block(F.filter(some, lambda k: F.pmod(F.floor(digits(k) / outer), inner) == b)))
+        dealt = lambda some: F.transform(F.sequence(F.lit(0), (inner - 1).cast("int")), lambda b: block(F.filter(some, lambda k: F.pmod(F.floor(_digits(k, above) / outer), inner) == b)))
         return _bound(some, dealt)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), outer - 1), group))
+    return F.flatten(F.transform(F.sequence(F.lit(0), (outer - 1).cast("int")), group))
+
+
+def _of_block(keys: Column, i: Column, blocks: Column) -> Column:
+    """The keys that sketch() deals to block i."""
+    outer = _outer(blocks)
+    inner = (blocks / outer).cast("long")
+    return F.filter(keys, lambda k: (F.pmod(_digits(k, F.lit(1)), outer) == F.floor(i / inner)) & (F.pmod(F.floor(_digits(k, F.lit(1)) / outer), inner) == F.pmod(i.cast("long"), inner)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -112,14 +130,24 @@ def peeled_count(a: Column, b: Column) -> Column:
 
 
 def difference_size(a: Column, b: Column, a_cells: Column, b_cells: Column, a_size: Column, b_size: Column) -> Column:
-    """How many digests differ: the sketches of the rows if their sizes agree, else and on failure larger ones by four.
+    """How many digests differ, by sketches of the larger of the rows' sizes (the rows' own where that is their size).
 
-    Past the last size the sets themselves tell.
+    A block that can't be peeled is sketched again from its digests alone, four times larger each time; past the last size
+    the sets themselves tell.
     """
     size = F.greatest(a_size, b_size)
-    own = peeled_count(F.when(a_size == size, a_cells).otherwise(sketch(a, size)), F.when(b_size == size, b_cells).otherwise(sketch(b, size)))
-    tries = [peeled_count(sketch(a, size * 4**i), sketch(b, size * 4**i)) for i in range(1, TRIES)]
-    return F.coalesce(F.when(a == b, F.lit(0)), own, *tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    own = subtract(F.when(a_size == size, a_cells).otherwise(sketch(a, size)), F.when(b_size == size, b_cells).otherwise(sketch(b, size)))
+
+    def again(i: Column) -> Column:
+        def larger(sides: Column) -> Column:
+            x, y = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+            tries = [peeled_count(sketch(x, F.lit(4**n), size), sketch(y, F.lit(4**n), size)) for n in range(1, TRIES)]
+            return F.coalesce(*tries, F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+
+        return _bound(F.array(_of_block(a, i, size), _of_block(b, i, size)), larger)
+
+    each = F.transform(peel(own), lambda p, i: F.when(p.isNotNull(), F.size(p)).otherwise(again(i)))
+    return F.when(a == b, F.lit(0)).otherwise(F.aggregate(each, F.lit(0), lambda n, x: n + x))
 
 
 def likeness(a: Column, b: Column, d: Column) -> Column:
