@@ -5,6 +5,8 @@ Hits are rows (query_id, chunk_id, score, rank). Ties in score go to the lower c
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str =
     return (top.filter(where) if post_filter and where is not None else top).select("query_id", "chunk_id", "score", "rank")
 
 
-def cells(chunks: DataFrame, n_cells: int, seed: int = 7, sample: int = 2000) -> tuple[DataFrame, DataFrame]:
+def cells(chunks: DataFrame, n_cells: int, seed: int = 7, sample: int = 2000) -> tuple[list, DataFrame]:
     """Coarse cells: centres fitted by k-means on at most ``sample`` unit vectors, and chunks with their nearest cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -52,17 +54,16 @@ def cells(chunks: DataFrame, n_cells: int, seed: int = 7, sample: int = 2000) ->
     unit = chunks.withColumn("unit", F.transform("vector", lambda x: x.cast("double") / norm)).withColumn("features", array_to_vector("unit"))
     fit_on = unit.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample)
     model = KMeans(k=n_cells, seed=seed, maxIter=8).fit(fit_on)
-    spark = chunks.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    return centres, model.transform(unit).select("chunk_id", "vector", F.col("prediction").alias("cell"), vector_to_array("features").alias("unit"))
+    return [[float(x) for x in c] for c in model.clusterCenters()], model.transform(unit).select("chunk_id", "vector", F.col("prediction").alias("cell"), vector_to_array("features").alias("unit"))
 
 
-def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, n_cells: int = 16, probes: int = 6, sample: int = 2000) -> DataFrame:
+def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, n_cells: int = 16, probes: int = 12, sample: int = 2000) -> DataFrame:
     """Nearest chunks within each query's nearest cells, exactly scored; every chunk is indexed."""
     centres, indexed = cells(chunks, n_cells, sample=sample)
-    near = queries.join(F.broadcast(centres)).withColumn("near", similarity(F.col("vector"), F.col("centre")))  # centres are n_cells rows
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "cell"))).filter(F.col("r") <= probes)
-    pairs = indexed.join(near.select("query_id", F.col("vector").alias("q"), "cell"), "cell")
+    known = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # n_cells centres
+    far = F.transform(known, lambda c, i: F.struct((-similarity(F.col("vector"), c)).alias("far"), i.alias("cell")))
+    near = queries.withColumn("x", F.explode(F.slice(F.array_sort(far), 1, probes)))
+    pairs = indexed.join(near.select("query_id", F.col("vector").alias("q"), "x.cell"), "cell")
     return ranked(pairs.select("query_id", "chunk_id", similarity(F.col("q"), F.col("vector")).alias("score")), k)
 
 

@@ -19,5 +19,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = rt.reciprocal_ranks(lists)
     kept = rt.adjacent_dedup(fused.join(docs, "chunk_id").select("query_id", "rank", "text"), "query_id", "rank")
     cut = rt.assembled(fused.join(kept, ["query_id", "rank"]).drop("rank"), 20)
-    quoted = docs.join(F.broadcast(queries.select("query_id", F.substring("text", 1, 60).alias("q"))), F.contains("text", F.col("q")))  # the benchmark is a few hundred items
-    return rt.metrics(cut.select("query_id", "chunk_id", "rank"), quoted.select("query_id", "chunk_id"))
+    return rt.metrics(cut.select("query_id", "chunk_id", "rank"), quoting(queries, docs))
+
+
+def quoting(queries: DataFrame, docs: DataFrame, n: int = 6) -> DataFrame:
+    """(query_id, chunk_id) of the documents that have the first n words of a query in a row: an equi-join on runs of n words."""
+    w = rt.words(F.col("text"))
+    first = queries.select("query_id", F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " ")).alias("run")).filter("run is not null")
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    there = docs.select("chunk_id", w.alias("w")).filter(F.size("w") >= n).select("chunk_id", F.explode(F.array_distinct(runs)).alias("run"))
+    return there.join(first, "run").select("query_id", "chunk_id").distinct()

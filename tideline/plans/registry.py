@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -95,7 +97,7 @@ def query(oracle: str | None = None, **views: str):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle:
             known = {"corpus": CORPUS, "questions": QUESTIONS, "edges": GRAPH_EDGES, "nodes": GRAPH_NODES, "tables_md": MARKDOWN_DUCK}
-            words = set(__import__("re").findall(r"\w+", oracle + " ".join(views.values())))
+            words = set(re.findall(r"\w+", oracle + " ".join(views.values())))
             needed = {n: duck(s) for n, s in known.items() if n in words} | views
             body = oracle.strip()
             if needed:
