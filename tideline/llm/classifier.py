@@ -164,6 +164,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted 1, with all their columns; matched by doc_id."""
-    good = classify(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__good_id")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long") == F.col("__good_id"), "left_semi")
+    """The rows of docs that are predicted 1, with all their columns; judged where they stand, each by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, ends in text_chunks(batch.column(at)):
+                x, base = encode(data, ends)
+                yield batch.slice(lo, hi - lo).filter(pa.array(forward(shared.value, x, base)["score"] >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,13 +23,16 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the counts that only rules read."""
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the counts that only rules read.
+
+    carry: with the whole row of docs as __row.
+    """
     count = lambda pattern: F.size(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))).cast("long")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("__row")] if carry else []))
     d = d.withColumn("words", word_array(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     d = d.select(
-        "doc_id", "words",
+        "doc_id", "words", *(["__row"] if carry else []),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
@@ -107,6 +110,10 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     return fitted.select("model", F.explode("p").alias("x")).select(F.col("x.votes").alias("votes"), posterior(F.col("x"), F.col("model")).alias("posterior"))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior for every row.
 
@@ -117,19 +124,21 @@ def judged(docs: DataFrame) -> DataFrame:
     bits = votes()
     f = staged(f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*bits).alias("votes")))
     fit = posteriors(f.groupBy("votes").agg(F.count("*").alias("n")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # At most 3 ** rules rows are sent to all tasks.
     return f.join(F.broadcast(fit), "votes").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("posterior") >= KEEP_FROM)).alias("kept"), F.round("posterior", 6).alias("posterior"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
+        (~_failed() & (F.col("posterior") >= KEEP_FROM)).alias("kept"), F.round("posterior", 6).alias("posterior"),
     )
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns. Rows are matched by doc_id; a null one goes by its text."""
-    verdict = judged(docs.select(F.col("doc_id"), F.col("text")))
-    good = verdict.filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
+    """The rows of docs that are kept, with all their columns; each is judged by its own text, so ids don't matter.
+
+    Texts are gone through twice (for the histogram, then for the verdicts) and never shuffled.
+    """
+    voted = features(docs, carry=True).filter(~_failed()).select("__row", F.array(*votes()).alias("votes"))
+    fit = posteriors(features(docs).select(F.array(*votes()).alias("votes")).groupBy("votes").agg(F.count("*").alias("n")))
+    return voted.join(F.broadcast(fit), "votes").filter(F.col("posterior") >= KEEP_FROM).select("__row.*")
 
 
 __all__ = ["features", "judged", "kept", "posteriors", "votes", "word_array"]
