@@ -134,11 +134,16 @@ def judged(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns; each is judged by its own text, so ids don't matter.
 
-    Texts are gone through twice (for the histogram, then for the verdicts) and never shuffled.
+    Texts are gone through twice (for the histogram, then for the verdicts) and never shuffled. Which patterns are kept is
+    written before it is joined: a filter on it would be pushed below the features, which it would then repeat.
     """
-    voted = features(docs, carry=True).filter(~_failed()).select("__row", F.array(*votes()).alias("votes"))
-    fit = posteriors(features(docs).select(F.array(*votes()).alias("votes")).groupBy("votes").agg(F.count("*").alias("n")))
-    return voted.join(F.broadcast(fit), "votes").filter(F.col("posterior") >= KEEP_FROM).select("__row.*")
+    rules = votes()
+    key = F.array(*rules, _failed().cast("int"))
+    seen = staged(features(docs).select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n"))).withColumn("votes", F.slice("key", 1, len(rules)))
+    fit = posteriors(seen.groupBy("votes").agg(F.sum("n").alias("n")))
+    good = staged(seen.join(fit, "votes").filter((F.col("posterior") >= KEEP_FROM) & (F.get("key", F.lit(len(rules))) == 0)).select("key"))
+    # At most 2 * 3 ** rules rows are sent to all tasks.
+    return features(docs, carry=True).select("__row", key.alias("key")).join(F.broadcast(good), "key", "left_semi").select("__row.*")
 
 
 __all__ = ["features", "judged", "kept", "posteriors", "votes", "word_array"]
