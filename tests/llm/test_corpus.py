@@ -236,6 +236,45 @@ def test_repeated_passages(spark):
     assert substrings.passages(table(spark, [])).count() == 0
 
 
+def covered(texts, least=50):
+    """Words of each text in a stretch of least words that also stands in an earlier one, word by word."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        grams = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        out.append({k for i, g in enumerate(grams) if g in seen for k in range(i, i + least)})
+        seen.update(grams)
+    return out
+
+
+def caught(spark, texts, words):
+    """Share of the words of each text (sets of places) that passages() lists."""
+    got = collections.defaultdict(set)
+    for r in substrings.passages(table(spark, texts)).collect():
+        got[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    return [len(w & got[i]) / len(w) for i, w in enumerate(words) if w]
+
+
+def test_decoys_hide_no_passage(spark):
+    rng = random.Random(10)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    decoys, texts = [], []
+    for part, whole in [(40, 60), (20, 60), (40, 80)] * 20:  # the first documents hold a part of the passage of two later ones
+        passage = word(whole)
+        at = rng.randrange(whole - part + 1)
+        decoys.append(" ".join(word(60) + passage[at : at + part] + word(60)))
+        texts += [" ".join(word(rng.randrange(30, 90)) + passage + word(60)) for _ in range(2)]
+    twice = word(40)  # one sentence stands in very many documents, twice in some, and in three of them as part of a passage
+    decoys += [" ".join(word(60) + twice + word(60) + (twice + word(20) if i % 3 == 0 else [])) for i in range(60)]
+    longer = twice + word(30)
+    texts += [" ".join(word(50) + longer + word(50)) for _ in range(3)]
+    both = decoys + texts
+    shares = caught(spark, both, covered(both))
+    assert len(shares) == 62 and min(shares) > 0.8
+    hidden = {r["doc_id"] for r in substrings.passages(table(spark, both)).collect()}
+    assert hidden == {i for i, w in enumerate(covered(both)) if w}
+
+
 # ---------------------------------------------------------------- 6
 
 
