@@ -275,6 +275,28 @@ def test_decoys_hide_no_passage(spark):
     assert hidden == {i for i, w in enumerate(covered(both)) if w}
 
 
+def test_edited_passages_are_found(spark):
+    """Passages of 50 words or more of which 0.8 of the shingles or more stand in the source."""
+    rng = random.Random(12)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    sources, texts, places = [], [], []
+    while len(texts) < 150:
+        passage = word(rng.choice([50, 55, 60, 100]))
+        near = list(passage)
+        for _ in range(rng.randint(1, max(1, len(near) // 25))):
+            k = rng.randrange(1, len(near) - 1)
+            near[k : k + rng.randrange(2)] = word(rng.randrange(2))
+        known = set(grams(passage))
+        hit = [g in known for g in grams(near)]
+        if len(near) >= 50 and sum(hit) >= 0.8 * len(hit) and hit[0] and hit[-1] and not all(hit):
+            sources.append(" ".join(word(60) + passage + word(60)))
+            texts.append(" ".join(word(60) + near + word(60)))
+            places.append(set(range(60, 60 + len(near))))
+    shares = caught(spark, sources + texts, [set()] * len(sources) + places)
+    assert sum(s >= 0.8 for s in shares) >= 149
+
+
 # ---------------------------------------------------------------- 6
 
 
