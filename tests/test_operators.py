@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tideline.functions import text as tx
 from tideline.operators import context as cx
 from tideline.operators import graph as gr
+from tideline.operators import projects as pj
 from tideline.operators import research as rs
 from tideline.operators import retrieval as rt
 from tideline.operators import tables as tb
@@ -24,14 +25,79 @@ def test_approximate_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
-def test_chunks_keep_every_line(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(100)
+def brute_chunks(text, cap):
+    """Units (line or cut of one, and the table header it needs), then greedy packing."""
+    units, rows, header = [], 0, ""
+    for line in (x for x in text.split("\n") if x.strip(" ")):
+        rows = rows + 1 if line.lstrip(" ").startswith("|") else 0
+        header = "" if not rows else line if rows == 1 else f"{header}\n{line}" if rows == 2 else header
+        own = header if rows > 2 and len(header) <= cap * 2 else ""
+        room = max(1, 4 * cap - (len(own) + 1 if own else 0))
+        units += [(line[i : i + room], own) for i in range(0, len(line), room)]
+    out = []
+    for piece, own in units:
+        if out and max(1, len(f"{out[-1]}\n{piece}") // 4) <= cap:
+            out[-1] = f"{out[-1]}\n{piece}"
+        else:
+            out.append(f"{own}\n{piece}" if own else piece)
+    return out
+
+
+def test_chunks_equal_brute_force(spark):
+    rng = random.Random(5)
+    row = lambda: "| " + " | ".join("x" * rng.randint(1, 30) for _ in range(3)) + " |"
+    line = lambda: rng.choice(["", " ", "word " * rng.randint(1, 20), "y" * rng.randint(1, 900), "\n".join(row() for _ in range(rng.randint(1, 9)))])
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 9))) for _ in range(80)] + ["", "|a|\n|-|\n" + "|b|\n" * 300]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
     got = {}
-    for r in tb.chunks(docs, 50).orderBy("doc_id", "position").collect():
+    for r in tb.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), 50).orderBy("doc_id", "position").collect():
         got.setdefault(r["doc_id"], []).append(r["text"])
-        assert r["n_tokens"] <= 50 or "\n" not in r["text"]
-    for r in docs.collect():
-        assert "\n".join(got[r["doc_id"]]) == "\n".join(x for x in r["text"].split("\n") if x.strip(" "))
+        assert r["n_tokens"] <= 50
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == brute_chunks(t, 50), t
+    assert all(x.startswith("|a|\n|-|") for x in got[81])
+    alone = tb.chunks(spark.createDataFrame([(1, "a\nb")], "doc_id int, text string"), 50, merge_peers=False)
+    assert alone.count() == 2
+
+
+def test_parameters_begin_at_a_word(spark):
+    texts = ["at 125 C, 40 °F and 12345 C; x12 mm, 7.5 mm, 3mm", "235 MPa and a355 MPa, 1.5.2 MPa", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(gr.parameters(F.col("t"))).collect()]
+    assert got == [["125 C", "40 °F", "7.5 mm", "3mm"], ["235 MPa", "5.2 MPa"], None]
+
+
+def test_citations_reach_clauses(spark):
+    rows = [("p", "p-001", "Pt.1", "unverified", []), ("p", "p-002", "Pt.2", "verified", []), ("p", "DNV-Pt.3", "Pt.3 Ch.1", "unverified", ["old"]), ("q", "q-001", "Pt.1", "unverified", [])]
+    clauses = spark.createDataFrame(rows, "project_id string, clause_id string, clause string, status string, conclusions array<string>")
+    cited = spark.createDataFrame([("p", "k1", "Pt.1"), ("p", "k2", "Pt.2"), ("p", "k3", "dnv-pt.3"), ("p", "old", "Pt.3 Ch.1"), ("p", "k4", "Ch.1")], "project_id string, conclusion_id string, clause string")
+    got = {r["clause_id"]: (r["status"], r["conclusions"]) for r in pj.compliance_from_citations(clauses, cited).collect()}
+    assert got == {"p-001": ("needs_review", ["k1"]), "p-002": ("verified", []), "DNV-Pt.3": ("needs_review", ["old", "k3"]), "q-001": ("unverified", [])}
+
+
+def test_context_sections(spark):
+    packed = spark.createDataFrame([(1, "[Source a] text"), (3, "[Source b] more")], "query_id int, context string")
+    facts = spark.createDataFrame([(1, i, f"fact {i}") for i in range(20)] + [(2, 0, "alone")], "query_id int, rank int, text string")
+    entities = spark.createDataFrame([(1, i, f"e{i:02}", "ship") for i in range(30)], "query_id int, rank int, name string, etype string")
+    relations = spark.createDataFrame([(q, i, "a", "of", f"b{i:02}") for i in range(12) for q in (1, 2)], "query_id int, rank int, src string, rtype string, dst string")
+    got = {r["query_id"]: r["context"] for r in cx.context_sections(packed, facts, entities, relations).collect()}
+    parts = got[1].split("\n\n")
+    assert parts[0] == "## Key Facts\n" + "\n".join(f"- fact {i}" for i in range(15)) and parts[1] == "## Document Context\n[Source a] text"
+    assert parts[2] == "## Knowledge Graph\n### Entities\n" + "\n".join(f"- e{i:02} (ship)" for i in range(20))
+    assert parts[3] == "### Relations\n" + "\n".join(f"- a -> of -> b{i:02}" for i in range(10))
+    assert got[2] == "## Key Facts\n- alone" and got[3] == "## Document Context\n[Source b] more"
+
+
+def test_iterated_retrieval(spark):
+    """Rounds against a loop over queries; scores come from a table."""
+    scores = {("q1", ""): 0.2, ("q1", "x"): 0.6, ("q2", ""): 0.7, ("q3", ""): 0.3, ("q3", "x"): 0.1, ("q3", "xy"): 0.3}
+    table = spark.createDataFrame([(q, len(e), s) for (q, e), s in scores.items()], "query_id string, n int, score double")
+    queries = spark.createDataFrame([(q, "key") for q in ("q1", "q2", "q3", "q4")], "query_id string, text string")
+
+    def retrieve(asked):
+        return asked.select("query_id", (F.size(F.split("text", " ")) - 1).alias("n")).join(table, ["query_id", "n"]).select("query_id", "score")
+
+    got = {r["query_id"]: (r["round"], r["score"]) for r in cx.iterated(queries, retrieve, {"key": ["x", "y", "z"]}).collect()}
+    assert got == {"q1": (1, 0.6), "q2": (0, 0.7), "q3": (0, 0.3), "q4": (0, 0.0)}
 
 
 def test_spans_equal_finditer(spark):

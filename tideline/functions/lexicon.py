@@ -33,7 +33,7 @@ CLAUSES = [
     r"(?i)\bSection\s+[\d.]+\b",
 ]
 EQUIPMENT = r"(?i)\b(?:Type|Model)\s*[-:]\s*[A-Za-z0-9]+"
-PARAMETERS = [r"\d{2,4}\s*[°º]?\s*[CF]\b", r"\d+(?:\.\d+)?\s*mm\b", r"\d+(?:\.\d+)?\s*MPa\b"]
+PARAMETERS = [r"\b\d{2,4}\s*(?:°\s*)?[CF]\b", r"\b\d+(?:\.\d+)?\s*mm\b", r"\b\d+(?:\.\d+)?\s*MPa\b"]
 NEGATIONS = [r"(?i)except\s+([^.]+)", r"(?i)excluding\s+([^.]+)", r"(?i)not applicable to\s+([^.]+)", r"(?i)does not apply to\s+([^.]+)"]
 #: Lower-cased words to canonical names, in order.
 SHIP_TYPES = {
@@ -65,19 +65,6 @@ SYNONYMS = {
     "thickness": ["plate thickness", "material thickness"],
     "requirement": ["criteria", "specification", "standard"],
 }
-PHASES = {
-    "设计阶段": ["设计", "计算", "design", "calculation"],
-    "建造阶段": ["建造", "检验", "construction", "inspection", "testing"],
-    "交付阶段": ["交付", "审图", "delivery", "approval"],
-    "运营阶段": ["运营", "维护", "operation", "maintenance"],
-}
-DISCIPLINES = {
-    "结构": ["结构", "强度", "屈曲", "疲劳", "structural", "strength", "fatigue", "buckling"],
-    "轮机": ["轮机", "柴油机", "推进", "machinery", "engine", "propulsion"],
-    "管系": ["管系", "管路", "泵", "piping", "pipe", "pump", "valve"],
-    "焊接": ["焊接", "WPS", "PQR", "welding", "weld"],
-    "电气": ["电气", "电缆", "electrical", "cable", "power"],
-}
 #: First bytes in hex, in order, to a format; null leaves it to the extension.
 MAGIC = [("255044462d", "pdf"), ("89504e47", "image"), ("ffd8ff", "image"), ("49492a00", "image"), ("4d4d002a", "image"), ("424d", "image"), ("504b0304", None), ("3c21444f43545950", "html"), ("3c68746d6c", "html")]
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "html": "html", "htm": "html", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image", "tif": "image", "bmp": "image", "csv": "csv", "md": "markdown"}

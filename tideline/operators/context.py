@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,31 @@ def packed_context(hits: DataFrame, max_tokens: int) -> DataFrame:
     return fits.groupBy("query_id").agg(F.count("*").alias("n_used"), F.sum("cost").alias("n_tokens"), joined.alias("context"))
 
 
+def context_sections(passages: DataFrame, facts: DataFrame, entities: DataFrame, relations: DataFrame, most: tuple[int, int, int] = (15, 20, 10)) -> DataFrame:
+    """query_id, context: key facts, then packed passages, then entities and relations, with the most of each.
+
+    passages: (query_id, context) as packed_context() makes them; facts: (query_id, rank, text); entities: (query_id, rank,
+    name, etype); relations: (query_id, rank, src, rtype, dst). Empty sections have no heading, and relations need entities.
+    """
+
+    def listed(rows: DataFrame, line: Column, n: int, name: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", line))
+        first = rows.select("query_id", nth.alias("nth"), line.alias("line")).filter(F.col("nth") <= n)
+        return first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias(name))
+
+    dash = F.lit("- ")
+    parts = passages.select("query_id", F.col("context").alias("passages"))
+    parts = parts.join(listed(facts, F.concat(dash, "text"), most[0], "facts"), "query_id", "full")
+    parts = parts.join(listed(entities, F.concat(dash, "name", F.lit(" ("), "etype", F.lit(")")), most[1], "entities"), "query_id", "full")
+    parts = parts.join(listed(relations, F.concat(dash, "src", F.lit(" -> "), "rtype", F.lit(" -> "), "dst"), most[2], "relations"), "query_id", "left")
+    # Headings of the sections: fixed values.
+    sections = [
+        F.concat(F.lit("## Key Facts\n"), "facts"), F.concat(F.lit("## Document Context\n"), "passages"),
+        F.concat(F.lit("## Knowledge Graph\n### Entities\n"), "entities"), F.when(F.col("entities").isNotNull(), F.concat(F.lit("### Relations\n"), "relations")),
+    ]
+    return parts.select("query_id", F.concat_ws("\n\n", *sections).alias("context"))
+
+
 def budget(tier: Column, query: Column, tiers: dict = TIERS) -> Column:
     """struct(total, retrieval, history, generation) in tokens; long queries take from generation, which keeps a tenth."""
     def of(i: int) -> Column:
@@ -132,20 +159,33 @@ def admitted_daily(events: DataFrame, limits: dict = DAILY) -> DataFrame:
 
 
 def admitted_window(events: DataFrame, seconds: int = 60, limits: dict = PER_WINDOW) -> DataFrame:
-    """event_id, user_id, admitted: fewer than the limit were admitted in the last ``seconds``; the refused don't count.
+    """user_id, event_id, admitted: fewer than the limit were admitted in the last ``seconds``; the refused don't count.
 
-    A fold over a user's events in order, so one user's events have to fit a task; it holds times of the admitted alone.
+    Users are dealt out, and their events go by in order of time: what is held of a user is the times of the admitted in the
+    window, at most the limit, however many events there are. Users without a limit (none for their tier) are all admitted.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    per = events.groupBy("user_id").agg(F.first("tier").alias("tier"), F.array_sort(F.collect_list(F.struct(us.alias("t"), "event_id"))).alias("e")).withColumn("limit", F.coalesce(limit_of(F.col("tier"), limits), F.lit(2**31 - 1)))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<event_id:bigint,admitted:boolean>>").alias("out"))
-    live = lambda acc, x: F.filter(acc["held"], lambda h: h > x["t"] - seconds * 1_000_000)
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = F.size(live(acc, x)) < F.col("limit")
-        return F.struct(F.when(ok, F.array_append(live(acc, x), x["t"])).otherwise(live(acc, x)).alias("held"), F.array_append(acc["out"], F.struct(x["event_id"].alias("event_id"), ok.alias("admitted"))).alias("out"))
-
-    return per.select("user_id", F.explode(F.aggregate("e", start, step, lambda acc: acc["out"])).alias("x")).select("user_id", "x.event_id", "x.admitted")
+    rows = events.select("user_id", us.alias("us"), "event_id", limit_of(F.col("tier"), limits).alias("limit"))
+    free, bound = rows.filter("limit is null"), rows.filter("limit is not null")
+    user, event = (rows.schema[c].dataType.simpleString() for c in ("user_id", "event_id"))
+
+    def run(batches):
+        last, held = None, deque()
+        for batch in batches:
+            out = []
+            for who, at, limit in zip(batch["user_id"], batch["us"].to_numpy(), batch["limit"].to_numpy(), strict=True):
+                if who != last:
+                    last, held = who, deque()
+                while held and held[0] <= at - seconds * 1_000_000:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(at)
+            yield batch[["user_id", "event_id"]].assign(admitted=out)
+
+    ordered = bound.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
+    judged = ordered.mapInPandas(run, f"user_id {user}, event_id {event}, admitted boolean")
+    return judged.unionByName(free.select("user_id", "event_id", F.lit(True).alias("admitted")))
 
 
 def window_usage(events: DataFrame, seconds: int = 60) -> DataFrame:

@@ -7,18 +7,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicon as lx
 from tideline.functions.text import match_spans
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; one of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of our own only where the session names none and runs on this machine (tests)."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
+        at = sc.getCheckpointDir()
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,9 +72,9 @@ def ship_spans(text: Column, words: dict[str, str] = lx.SHIP_TYPES) -> Column:
 
 
 def not_negated(text: Column, found: Column, patterns=lx.NEGATIONS) -> Column:
-    """Spans that overlap no exception (from its word to the next full stop)."""
-    negated = spans(text, patterns)
-    return F.filter(found, lambda m: ~F.exists(negated, lambda n: (m["s"] < n["e"]) & (m["e"] > n["s"])))
+    """Spans that overlap no exception (from its word to the next full stop); exceptions are looked for once a text."""
+    outside = lambda negated: F.filter(found, lambda m: ~F.exists(negated, lambda n: (m["s"] < n["e"]) & (m["e"] > n["s"])))
+    return F.get(F.transform(F.array(spans(text, patterns)), outside), F.lit(0))
 
 
 def entity_id(name: Column, kind: Column) -> Column:
@@ -81,10 +91,11 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     rules = [("steel_grade", spans(text, [lx.STEEL_GRADE])), ("regulation_clause", clause_spans(text)), ("equipment", spans(text, [lx.EQUIPMENT])), ("parameter", spans(text, lx.PARAMETERS)), ("ship_type", ship_spans(text))]
 
     def named(kind: str, found: Column) -> Column:
-        return F.transform(not_negated(text, found), lambda m: F.struct(F.trim(m["m"]).alias("name"), F.lit(kind).alias("etype")))
+        return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.trim(m["m"]).alias("name"), F.lit(kind).alias("etype")))
 
     kinds = [named(*rule) for rule in rules]
-    rows = docs.filter(F.trim("text") != "").select("doc_id", F.explode(F.array_distinct(F.concat(*kinds))).alias("x")).select("doc_id", "x.name", "x.etype")
+    found = F.transform(not_negated(text, F.concat(*kinds)), lambda m: F.struct(m["name"].alias("name"), m["etype"].alias("etype")))
+    rows = docs.filter(F.trim("text") != "").select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.name", "x.etype")
     return rows.select(entity_id(F.col("name"), F.col("etype")).alias("entity_id"), "name", "etype", "doc_id")
 
 
@@ -141,21 +152,35 @@ def without_dangling(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def upsert_entities(loads: DataFrame) -> DataFrame:
-    """entity_id, name, etype, ref_count, doc_id from rows with load_no: counted loads, name of the first, document of the last."""
-    return loads.groupBy("entity_id").agg(F.min_by("name", "load_no").alias("name"), F.min_by("etype", "load_no").alias("etype"), F.count("*").alias("ref_count"), F.max_by("doc_id", "load_no").alias("doc_id"))
+    """entity_id, name, etype, society, ref_count, doc_id, properties from rows with load_no: counted loads; name, type and
+    society of the first, document and properties of the last."""
+    kept = [F.min_by(c, "load_no").alias(c) for c in ("name", "etype", "society") if c in loads.columns]
+    return loads.groupBy("entity_id").agg(*kept, F.count("*").alias("ref_count"), *(F.max_by(c, "load_no").alias(c) for c in ("doc_id", "properties") if c in loads.columns))
+
+
+def matched_by(entities: DataFrame, doc_id: int) -> DataFrame:
+    """n: how many entities the deletion of a document touches."""
+    return entities.filter(F.col("doc_id") == doc_id).agg(F.count("*").alias("n"))
 
 
 def delete_document(entities: DataFrame, relations: DataFrame, doc_id: int) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations after a document goes: its edges fall, its entities lose a reference, the last one takes them."""
+    """Entities and relations after a document goes: its edges fall, its entities lose a reference, the last one takes them.
+
+    matched_by() tells how many entities that concerns.
+    """
     gone = entities.filter(F.col("doc_id") == doc_id).select("entity_id")
     left = relations.join(gone.withColumnRenamed("entity_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("entity_id", "dst"), "dst", "left_anti")
     mine = F.coalesce(F.col("doc_id") == doc_id, F.lit(False))
     return entities.filter(~(mine & (F.col("ref_count") <= 1))).withColumn("ref_count", F.when(mine, F.col("ref_count") - 1).otherwise(F.col("ref_count"))), left
 
 
-def lookup(entities: DataFrame, name: str | None = None, kinds: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Entities whose name has the text, in id order up to the limit; types are filtered after it."""
+def lookup(entities: DataFrame, name: str | None = None, kinds: list[str] | None = None, limit: int | None = None, society: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Entities whose name has the text, of a society, of the ids (entity_id), in id order up to the limit; types are filtered after it."""
     out = entities if name is None else entities.filter(F.contains("name", F.lit(name)))
+    if society is not None:
+        out = out.filter(F.col("society") == society)
+    if ids is not None:
+        out = out.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
     if limit is not None:
         out = out.orderBy("entity_id").limit(limit)
     return out if kinds is None else out.filter(F.col("etype").isin(*kinds))
@@ -173,14 +198,14 @@ def traverse(relations: DataFrame, seeds: DataFrame, depth: int, kinds: list[str
     """
     edges = relations if kinds is None else relations.filter(F.col("rtype").isin(*kinds))
     seen = cut(seeds.select("entity_id").distinct().withColumn("hop", F.lit(0)))
-    frontier, walked = seen, None
+    frontier, walked, total = seen, None, seen.count()
     for hop in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("entity_id").alias("src")), "src", "left_semi")
         walked = step if walked is None else walked.union(step)
         frontier = cut(step.select(F.col("dst").alias("entity_id")).distinct().join(seen, "entity_id", "left_anti").withColumn("hop", F.lit(hop)))
         n = frontier.count()
-        seen = seen.union(frontier)
-        if not n or seen.count() >= most:
+        seen, total = seen.union(frontier), total + n
+        if not n or total >= most:
             break
     return seen, walked.distinct()
 

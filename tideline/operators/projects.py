@@ -39,17 +39,19 @@ def compliance_rows(projects: DataFrame, existing: DataFrame, templates: dict[st
 def compliance_from_citations(clauses: DataFrame, cited: DataFrame) -> DataFrame:
     """clauses with status and conclusions after citations (project_id, conclusion_id, clause).
 
-    A citation hits clauses of its project that equal it or contain its first 20 characters; of these the first by id. A
-    clause that isn't verified needs review then; a conclusion is noted once.
+    A citation hits clauses of its project that equal it, or whose id contains its first 20 characters (case aside); of
+    these the first by id. Unless that is verified, it needs review then and notes the conclusion once.
     """
-    hit = (F.col("clause") == F.col("c")) | F.contains("clause", F.substring("c", 1, 20))
+    hit = (F.col("clause") == F.col("c")) | F.contains(F.lower("clause_id"), F.lower(F.substring("c", 1, 20)))
     c = cited.select("project_id", "conclusion_id", F.col("clause").alias("c"))
     met = clauses.select("project_id", "clause_id", "clause").join(c, "project_id").filter(hit)
     first = met.groupBy("project_id", "conclusion_id", "c").agg(F.min("clause_id").alias("clause_id"))
     new = first.groupBy("clause_id").agg(F.array_sort(F.collect_set("conclusion_id")).alias("new"))
     j = clauses.join(new, "clause_id", "left")
-    status = F.when(F.col("new").isNotNull() & (F.col("status") != "verified"), "needs_review").otherwise(F.col("status"))
-    return j.withColumn("status", status).withColumn("conclusions", F.array_union("conclusions", F.coalesce("new", F.array().cast("array<string>")))).drop("new")
+    touched = F.col("new").isNotNull() & (F.col("status") != "verified")
+    return j.withColumns({
+        "conclusions": F.when(touched, F.array_union("conclusions", "new")).otherwise(F.col("conclusions")), "status": F.when(touched, "needs_review").otherwise(F.col("status")),
+    }).drop("new")
 
 
 def rolled_back(clauses: DataFrame, deleted: list[str]) -> DataFrame:

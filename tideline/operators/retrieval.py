@@ -10,6 +10,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.graph import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -29,19 +31,21 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "cosine", where: Column | None = None, blocks: int = 8, post_filter: bool = False) -> DataFrame:
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "cosine", where: Column | None = None, blocks: int = 8, parts: int = 32, post_filter: bool = False) -> DataFrame:
     """Exact nearest chunks of every query (query_id, vector) among (chunk_id, vector), filter first (or last, if told so).
 
-    Queries are dealt to blocks and every chunk meets each block once: a task holds a part of the chunks and one block of
-    the queries; only k rows of a query leave a task, before the ranks of all parts meet.
+    Queries are dealt to blocks and chunks to parts, and every part meets each block once: a task holds a part of the chunks
+    and one block of the queries; only k rows of a query leave a part, before the ranks of all parts meet.
     """
     candidates = chunks if where is None or post_filter else chunks.filter(where)
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("queries"))
-    c = candidates.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = c.join(q, "block").withColumn("x", F.explode("queries"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    c = candidates.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = c.join(q, ["block", "part"]).withColumn("x", F.explode("queries"))
     extra = [n for n in chunks.columns if n not in ("chunk_id", "vector")]
-    hits = pairs.select("x.query_id", "chunk_id", similarity(F.col("x.q"), F.col("vector"), mode).alias("score"), *extra).filter("score is not null")
-    top = ranked(hits, k)
+    hits = pairs.select("x.query_id", "chunk_id", "part", similarity(F.col("x.q"), F.col("vector"), mode).alias("score"), *extra).filter("score is not null")
+    of_part = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "chunk_id"))
+    top = ranked(hits.withColumn("of_part", of_part).filter(F.col("of_part") <= k).drop("of_part", "part"), k)
     return (top.filter(where) if post_filter and where is not None else top).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -74,17 +78,19 @@ def words(text: Column) -> Column:
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of (query_id, text) over (chunk_id, text): postings by term, one score per query and chunk, best k.
 
-    Documents are split into terms once; only the postings of query terms are kept before anything is shuffled.
+    Documents are split into terms once. Only the postings of query terms go on, and one of the empty term for every
+    document, which tells how many there are and their mean length; these are written once and then counted and scored.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    lengths = docs.select("chunk_id", words(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
-    wanted = terms.select("term").distinct()
-    postings = lengths.select("chunk_id", "dl", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    split = docs.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    postings = cut(split.join(wanted, "term").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
+    n, avgdl = postings.filter("term = ''").agg(F.count("*"), F.avg("dl")).first()
+    df = postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = terms.join(postings, "term").join(df, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+    asked = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = asked.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k)
 
 

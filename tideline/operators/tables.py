@@ -72,15 +72,43 @@ def merged_fragments(grouped: DataFrame, marker: str = "\n<!-- continued -->\n")
     return grouped.groupBy("doc_id", "group_no").agg(texts.alias("markdown"), F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("n_fragments"))
 
 
-def chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
-    """doc_id, position, text, n_tokens: lines packed in order up to max_tokens; a longer line is a chunk of its own."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+def chunks(docs: DataFrame, max_tokens: int = 512, merge_peers: bool = True, repeat_table_header: bool = True) -> DataFrame:
+    """doc_id, position, text, n_tokens: pieces of a document in order, none over max_tokens (by the estimate of a quarter of
+    the characters).
+
+    Lines that aren't blank are the units. A line over the cap is cut at the cap. The rows of a table (lines that begin with a
+    bar) after its first two lines carry the header with them where a new piece begins at one, if the header takes at most
+    half of the cap. merge_peers: units are packed as long as they fit; else each is a piece of its own.
+    """
+    most = 4 * max_tokens  # in characters; one more would still round down, but joining adds one
+    plain = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    is_row = lambda x: F.ltrim(x).startswith("|")
+    unit = F.struct(F.lit("").alias("text"), F.lit("").alias("header"))
+
+    # A table's header is its first line and the rule below it; every further row is told it.
+    def told(acc, x):
+        rows = F.when(is_row(x), acc["rows"] + 1).otherwise(0)
+        header = F.when(rows == 1, x).when(rows == 2, F.concat(acc["header"], F.lit("\n"), x)).when(rows == 0, F.lit("")).otherwise(acc["header"])
+        here = F.when((rows > 2) & F.lit(repeat_table_header) & (F.length(header) <= most / 2), header).otherwise(F.lit(""))
+        return F.struct(rows.alias("rows"), header.alias("header"), F.array_append(acc["out"], F.struct(x.alias("text"), here.alias("header"))).alias("out"))
+
+    none = F.slice(F.array(unit), 1, 0)
+    lines = F.aggregate(plain, F.struct(F.lit(0).alias("rows"), F.lit("").alias("header"), none.alias("out")), told, lambda acc: acc["out"])
+    # Lines over the cap are cut; with a header there has to be room for it.
+    room = lambda x: F.greatest(F.lit(1), most - F.when(x["header"] == "", 0).otherwise(F.length(x["header"]) + 1))
+    cuts = lambda x: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(x["text"]) / room(x)).cast("int") - 1)),
+        lambda i: F.struct(F.substring(x["text"], (i * room(x) + 1).cast("int"), room(x).cast("int")).alias("text"), x["header"].alias("header")),
+    )
+    units = F.flatten(F.transform(lines, cuts))
+    alone = lambda x: F.when(x["header"] == "", x["text"]).otherwise(F.concat(x["header"], F.lit("\n"), x["text"]))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    join = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("\n"), b))
-    step = lambda acc, x: F.when(
-        (acc["open"] == "") | (tokens(join(acc["open"], x)) <= max_tokens), F.struct(acc["done"].alias("done"), join(acc["open"], x).alias("open"))
-    ).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), x.alias("open")))
-    packed = F.aggregate(lines, start, step, lambda acc: F.filter(F.array_append(acc["done"], acc["open"]), lambda x: x != ""))
+    more = lambda acc, x: F.concat(acc["open"], F.lit("\n"), x["text"])
+    fits = lambda acc, x: (tokens(more(acc, x)) <= max_tokens) & F.lit(merge_peers)
+    step = lambda acc, x: F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), alone(x).alias("open"))).when(
+        fits(acc, x), F.struct(acc["done"].alias("done"), more(acc, x).alias("open"))
+    ).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), alone(x).alias("open")))
+    packed = F.aggregate(units, start, step, lambda acc: F.filter(F.array_append(acc["done"], acc["open"]), lambda x: x != ""))
     return docs.select("doc_id", F.posexplode(packed).alias("position", "text")).withColumn("n_tokens", tokens(F.col("text")))
 
 

@@ -36,6 +36,25 @@ def f2_packed_context(t):
     return cx.packed_context(_hits(t), 20000)
 
 
+_SECTIONS = {
+    "h": _HITS,
+    "pk": "SELECT query_id, string_agg(line, concat(chr(10), chr(10)) ORDER BY rank) AS passages FROM (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, greatest(1, CAST(floor(length(line) / 4) AS BIGINT)) AS cost FROM (SELECT *, concat('[Source ', citation, '] ', text) AS line FROM h))) WHERE total <= 2000 GROUP BY query_id",
+    "fa": "SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS facts FROM (SELECT query_id, rank, concat('- ', split_part(text, '.', 1)) AS line FROM h WHERE rank <= 15) GROUP BY query_id",
+    "en": "SELECT query_id, string_agg(line, chr(10) ORDER BY r) AS entities FROM (SELECT query_id, line, row_number() OVER (PARTITION BY query_id ORDER BY file, line) AS r FROM (SELECT DISTINCT query_id, file, concat('- ', file, ' (language)') AS line FROM h WHERE file <> 'es')) WHERE r <= 20 GROUP BY query_id",
+    "re": "SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS relations FROM (SELECT query_id, rank, concat('- ', citation, ' -> written_in -> ', file) AS line FROM h WHERE rank <= 10) GROUP BY query_id",
+}
+
+
+@query("""SELECT query_id, concat_ws(concat(chr(10), chr(10)), concat('## Key Facts', chr(10), facts), CASE WHEN passages IS NOT NULL THEN concat('## Document Context', chr(10), passages) END,
+CASE WHEN entities IS NOT NULL THEN concat('## Knowledge Graph', chr(10), '### Entities', chr(10), entities) END, CASE WHEN entities IS NOT NULL THEN concat('### Relations', chr(10), relations) END) AS context FROM fa LEFT JOIN pk USING (query_id) LEFT JOIN en USING (query_id) LEFT JOIN re USING (query_id)""", **_SECTIONS)
+def f2_context_sections(t):
+    h = _hits(t)
+    facts = h.select("query_id", "rank", F.split_part("text", F.lit("."), F.lit(1)).alias("text"))
+    entities = h.filter("file <> 'es'").select("query_id", F.col("file").alias("rank"), F.col("file").alias("name"), F.lit("language").alias("etype")).distinct()
+    relations = h.select("query_id", "rank", F.col("citation").alias("src"), F.lit("written_in").alias("rtype"), F.col("file").alias("dst"))
+    return cx.context_sections(cx.packed_context(h, 2000), facts, entities, relations)
+
+
 @query("""SELECT conv_id, turn, CAST(total AS INTEGER) AS total, CAST(trunc(total * (r * f)) AS INTEGER) AS retrieval, CAST(trunc(total * h) AS INTEGER) AS history, CAST(trunc(total * CASE WHEN f0 THEN CASE total WHEN 4000 THEN 0.5::DOUBLE WHEN 8000 THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END ELSE greatest(0.1::DOUBLE, (total - trunc(total * (r * f)) - trunc(total * h)) / total) END) AS INTEGER) AS generation FROM (
 SELECT conv_id, turn, length(text) = 0 AS f0, CASE WHEN length(text) = 0 THEN 1.0::DOUBLE ELSE least(1.5::DOUBLE, greatest(0.5::DOUBLE, length(text) / 500.0::DOUBLE)) END AS f, CASE conv_id % 3 WHEN 0 THEN 4000.0::DOUBLE WHEN 1 THEN 8000.0::DOUBLE ELSE 16000.0::DOUBLE END AS total, CASE conv_id % 3 WHEN 0 THEN 0.30::DOUBLE WHEN 1 THEN 0.40::DOUBLE ELSE 0.50::DOUBLE END AS r, 0.20::DOUBLE AS h FROM conversations WHERE role = 'user')""")
 def f3_token_budget(t):

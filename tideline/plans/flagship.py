@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import retrieval as rt
+from tideline.operators.graph import cut
 from tideline.plans.registry import Tables
 
 
@@ -13,19 +14,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
-    first = rt.bm25_top_k(queries, docs)
+    first = cut(rt.bm25_top_k(queries, docs))  # a few rows of each query, read by all that follows
     second = rt.rerank(first, queries, docs)
     lists = first.select("query_id", F.lit(0).alias("list_no"), "rank", "chunk_id").union(second.select("query_id", F.lit(1), "rank", "chunk_id"))
-    fused = rt.reciprocal_ranks(lists)
+    fused = cut(rt.reciprocal_ranks(lists))
     kept = rt.adjacent_dedup(fused.join(docs, "chunk_id").select("query_id", "rank", "text"), "query_id", "rank")
-    cut = rt.assembled(fused.join(kept, ["query_id", "rank"]).drop("rank"), 20)
-    return rt.metrics(cut.select("query_id", "chunk_id", "rank"), quoting(queries, docs))
+    shown = rt.assembled(fused.join(kept, ["query_id", "rank"]).drop("rank"), 20)
+    return rt.metrics(shown.select("query_id", "chunk_id", "rank"), quoting(queries, docs))
 
 
 def quoting(queries: DataFrame, docs: DataFrame, n: int = 6) -> DataFrame:
-    """(query_id, chunk_id) of the documents that have the first n words of a query in a row: an equi-join on runs of n words."""
+    """(query_id, chunk_id) of the documents that have the first n words of a query in a row: an equi-join on hashes of n words."""
     w = rt.words(F.col("text"))
-    first = queries.select("query_id", F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " ")).alias("run")).filter("run is not null")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    there = docs.select("chunk_id", w.alias("w")).filter(F.size("w") >= n).select("chunk_id", F.explode(F.array_distinct(runs)).alias("run"))
+    run = lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n)))
+    first = queries.select("query_id", w.alias("w")).filter(F.size("w") >= n).select("query_id", run(F.lit(0)).alias("run"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), run)
+    there = docs.select("chunk_id", w.alias("w")).filter(F.size("w") >= n).select("chunk_id", F.explode(runs).alias("run"))
     return there.join(first, "run").select("query_id", "chunk_id").distinct()

@@ -52,7 +52,7 @@ def e3_equipment(t):
     return t.part.select("p_partkey", F.explode(gr.equipment(text)).alias("name"))
 
 
-@query("SELECT DISTINCT doc_id, trim(unnest(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(text, '{_sq(p)}')" for p in lx.PARAMETERS[:2]) + f"), regexp_extract_all(text, '{_sq(lx.PARAMETERS[2])}')))) AS name FROM corpus")
+@query(r"SELECT DISTINCT doc_id, trim(unnest(list_concat(list_concat(regexp_extract_all(text, '\b[0-9]{2,4}\s*(?:°\s*)?[CF]\b'), regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?\s*mm\b')), regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?\s*MPa\b')))) AS name FROM corpus")
 def e4_parameters(t):
     return t.corpus.select("doc_id", F.explode(gr.parameters(F.col("text"))).alias("name"))
 
@@ -129,14 +129,14 @@ def e15_dangling(t):
     return gr.without_dangling(t.sql(GRAPH_EDGES), t.sql(GRAPH_NODES).filter("etype <> 'region'")).select("src", "dst", "rtype")
 
 
-_LOADS = "SELECT entity_id, name, etype, CAST(1 AS BIGINT) AS doc_id, 1 AS load_no FROM {nodes} UNION ALL SELECT entity_id, upper(name), etype, CAST(2 AS BIGINT), 2 FROM {nodes} WHERE etype = 'part'"
+_LOADS = "SELECT entity_id, name, etype, substr(entity_id, 2, 1) AS society, CAST(1 AS BIGINT) AS doc_id, concat('first ', name) AS properties, 1 AS load_no FROM {nodes} UNION ALL SELECT entity_id, upper(name), etype, 'other', CAST(2 AS BIGINT), concat('second ', name), 2 FROM {nodes} WHERE etype = 'part'"
 
 
 def _stored(t):
     return gr.upsert_entities(t.sql(_LOADS, nodes=t.sql(GRAPH_NODES)))
 
 
-_ST = {"ld": _LOADS.replace("{nodes}", "nodes"), "st": "SELECT entity_id, arg_min(name, load_no) AS name, arg_min(etype, load_no) AS etype, count(*) AS ref_count, arg_max(doc_id, load_no) AS doc_id FROM ld GROUP BY entity_id"}
+_ST = {"ld": _LOADS.replace("{nodes}", "nodes"), "st": "SELECT entity_id, arg_min(name, load_no) AS name, arg_min(etype, load_no) AS etype, arg_min(society, load_no) AS society, count(*) AS ref_count, arg_max(doc_id, load_no) AS doc_id, arg_max(properties, load_no) AS properties FROM ld GROUP BY entity_id"}
 
 
 @query("SELECT * FROM st", **_ST)
@@ -156,6 +156,11 @@ def e18_delete_document(t):
     return gr.delete_document(_stored(t), t.sql(GRAPH_EDGES), 2)[0].select("entity_id", "ref_count")
 
 
+@query("SELECT count(*) AS n FROM st WHERE doc_id = 2", **_ST)
+def e18_matched(t):
+    return gr.matched_by(_stored(t), 2)
+
+
 @query("SELECT src, dst, rtype FROM edges e WHERE NOT EXISTS (SELECT 1 FROM st WHERE doc_id = 2 AND (entity_id = e.src OR entity_id = e.dst))", **_ST)
 def e18_delete_edges(t):
     return gr.delete_document(_stored(t), t.sql(GRAPH_EDGES), 2)[1].select("src", "dst", "rtype")
@@ -166,18 +171,24 @@ def e19_lookup(t):
     return gr.lookup(t.sql(GRAPH_NODES), "00", ["supplier"], 200)
 
 
+@query("SELECT entity_id, name, etype FROM st WHERE society = '1' AND entity_id IN (SELECT dst FROM edges WHERE rtype <> 'part_of') AND etype IN ('supplier', 'nation')", **_ST)
+def e19_lookup_by_ids(t):
+    ids = t.sql(GRAPH_EDGES).filter("rtype <> 'part_of'").select(F.col("dst").alias("entity_id"))
+    return gr.lookup(_stored(t), kinds=["supplier", "nation"], society="1", ids=ids).select("entity_id", "name", "etype")
+
+
 @query("SELECT src, dst, rtype FROM edges WHERE rtype IN ('located_in', 'part_of') AND src IN (SELECT entity_id FROM nodes WHERE etype = 'supplier')")
 def e20_out_edges(t):
     return gr.out_edges(t.sql(GRAPH_EDGES), t.sql(GRAPH_NODES).filter("etype = 'supplier'"), ["located_in", "part_of"]).select("src", "dst", "rtype")
 
 
-_WALK = "SELECT 'p1' AS entity_id, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM walk w JOIN edges e ON e.src = w.entity_id WHERE w.hop < 3"
+_WALK = "SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS entity_id, 0 AS hop FROM part WHERE p_partkey % 100 = 0 UNION SELECT e.dst, w.hop + 1 FROM walk w JOIN edges e ON e.src = w.entity_id WHERE w.hop < 3"
 
 
 @query("SELECT entity_id, min(hop) AS hop FROM walk GROUP BY entity_id", walk=_WALK)
 def e21_traversal(t):
-    nodes = t.sql(GRAPH_NODES)
-    return gr.traverse(t.sql(GRAPH_EDGES), nodes.filter("entity_id = 'p1'"), 3)[0]
+    seeds = t.part.filter("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    return gr.traverse(t.sql(GRAPH_EDGES), seeds, 3)[0]
 
 
 @query("SELECT DISTINCT e.src, e.dst, e.rtype FROM walk w JOIN edges e ON e.src = w.entity_id WHERE w.hop < 2", walk="SELECT * FROM (SELECT entity_id, 0 AS hop FROM nodes WHERE contains(name, 'NATION_1') ORDER BY entity_id LIMIT 1000) UNION SELECT e.dst, w.hop + 1 FROM walk w JOIN edges e ON e.src = w.entity_id WHERE w.hop < 2")

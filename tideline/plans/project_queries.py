@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicon as lx
@@ -18,9 +19,9 @@ def _orders(t):
 
 
 @query("""SELECT c_custkey AS project_id, coalesce(o.n, 0) AS n_orders, coalesce(v.n, 0) AS n_clauses, CAST(coalesce(v.k, 0) AS BIGINT) AS n_verified, CASE WHEN coalesce(v.n, 0) > 0 THEN round(v.k * 100.0::DOUBLE / v.n, 1) ELSE 0.0::DOUBLE END AS pct_verified FROM customer
-LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS k FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey) v ON v.o_custkey = c_custkey""")
+LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS k FROM orders GROUP BY o_custkey) v ON v.o_custkey = c_custkey""")
 def h1_dashboard(t):
-    clauses = _orders(t).filter("o_orderkey % 2 = 0").select("project_id", F.when(F.col("o_orderstatus") == "F", "verified").otherwise("open").alias("status"))
+    clauses = _orders(t).select("project_id", F.when(F.col("o_orderstatus") == "F", "verified").otherwise("open").alias("status"))
     return pj.dashboard(_projects(t), {"orders": _orders(t)}, clauses)
 
 
@@ -49,16 +50,20 @@ def _clauses(t):
     """Line items as clauses of their order, with no conclusions yet."""
     cid = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
     status = F.when(F.col("l_returnflag") == "A", "verified").otherwise("unverified")
-    rows = t.lineitem.filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("project_id"), cid.alias("clause_id"), F.concat(F.lit("clause "), F.col("l_linenumber").cast("string")).alias("clause"), status.alias("status"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("project_id"), cid.alias("clause_id"), F.concat(F.lit("clause "), F.col("l_linenumber").cast("string")).alias("clause"), status.alias("status"))
     return rows.dropDuplicates(["clause_id"]).withColumn("conclusions", F.array().cast("array<string>"))
 
 
+# Three in four citations name a clause, the others (in capitals or not) the beginning of an id.
+_REF = "CASE WHEN o_orderkey % 4 = 0 THEN concat(CAST(o_orderkey AS STRING), '-2-') ELSE concat('clause ', CAST(o_orderkey % 3 + 1 AS STRING)) END"
+
+
 def _cited(t):
-    return t.orders.filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("project_id"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("conclusion_id"), F.concat(F.lit("clause "), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("clause"))
+    return t.orders.select(F.col("o_orderkey").alias("project_id"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("conclusion_id"), F.expr(_REF).alias("clause"))
 
 
-_CL = "SELECT project_id, clause_id, any_value(clause) AS clause, min(status) AS status FROM (SELECT l_orderkey AS project_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS clause_id, concat('clause ', l_linenumber) AS clause, CASE WHEN l_returnflag = 'A' THEN 'verified' ELSE 'unverified' END AS status FROM lineitem WHERE l_orderkey % 10 = 0) GROUP BY project_id, clause_id"
-_UP = "SELECT c.clause_id, CASE WHEN n.k IS NOT NULL AND status <> 'verified' THEN 'needs_review' ELSE status END AS status, coalesce(n.k, '') AS conclusions FROM cl c LEFT JOIN (SELECT clause_id, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT min(clause_id) AS clause_id, concat('k', o_orderkey) AS k FROM cl JOIN orders ON project_id = o_orderkey AND o_orderkey % 20 = 0 AND contains(clause, substr(concat('clause ', o_orderkey % 3 + 1), 1, 20)) GROUP BY o_orderkey) GROUP BY clause_id) n USING (clause_id)"
+_CL = "SELECT project_id, clause_id, any_value(clause) AS clause, min(status) AS status FROM (SELECT l_orderkey AS project_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS clause_id, concat('clause ', l_linenumber) AS clause, CASE WHEN l_returnflag = 'A' THEN 'verified' ELSE 'unverified' END AS status FROM lineitem) GROUP BY project_id, clause_id"
+_UP = "SELECT c.clause_id, CASE WHEN n.k IS NOT NULL AND status <> 'verified' THEN 'needs_review' ELSE status END AS status, CASE WHEN status = 'verified' THEN '' ELSE coalesce(n.k, '') END AS conclusions FROM cl c LEFT JOIN (SELECT clause_id, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT min(clause_id) AS clause_id, concat('k', o_orderkey) AS k FROM cl JOIN (SELECT o_orderkey, " + _REF + " AS ref FROM orders) o ON project_id = o_orderkey AND (clause = ref OR contains(lower(clause_id), lower(substr(ref, 1, 20)))) GROUP BY o_orderkey) GROUP BY clause_id) n USING (clause_id)"
 
 
 def _updated(t):
@@ -81,14 +86,19 @@ def h6_document_search(t):
     return pj.document_search(docs, "TION").select("doc_id")
 
 
-@query("""SELECT * FROM mine UNION ALL SELECT query_id, doc_id, round(0.5 + 0.4 * s, 6), 'global' FROM (SELECT s.source AS query_id, d.doc_id, (d.doc_id % 10) / 10.0::DOUBLE AS s FROM (SELECT DISTINCT source FROM documents) s JOIN documents d ON d.doc_id < 40) x WHERE query_id NOT IN (SELECT query_id FROM mine WHERE score > 0.7 GROUP BY query_id HAVING count(*) >= 5)""",
-       mine="SELECT source AS query_id, doc_id, CASE WHEN contains(substr(text, 1, 500), 'tion') OR contains(substr(text, 1, 500), 'enth') THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS score, 'project' AS source FROM documents WHERE doc_id % 5 = 0")
+@query("""SELECT * FROM mine UNION ALL SELECT query_id, doc_id, round(0.5 + 0.4 * s, 6), 'global' FROM (SELECT l.source AS query_id, d.doc_id, d.s FROM (SELECT source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source) l JOIN (
+SELECT lang, doc_id, n_chars / (n_chars + 1000.0::DOUBLE) AS s, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) d ON d.lang = l.lang AND d.r <= 20) x
+WHERE query_id NOT IN (SELECT query_id FROM mine WHERE score > 0.7 GROUP BY query_id HAVING count(*) >= 5)""",
+       mine="SELECT source AS query_id, doc_id, CASE WHEN contains(substr(text, 1, 500), 'tionthe') OR contains(substr(text, 1, 500), 'enther') THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS score, 'project' AS source FROM documents")
 def h7_scoped_search(t):
-    queries = t.documents.select(F.col("source").alias("query_id")).distinct().withColumn("regulations", F.array(F.lit("tion"), F.lit("enth")))
-    own = t.documents.filter("doc_id % 5 = 0").select(F.col("source").alias("query_id"), "doc_id", "text")
-    hits = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct(i.cast("long").alias("doc_id"), (i % 10 / 10.0).alias("score")))
-    shared = queries.select("query_id", F.explode(hits).alias("x")).select("query_id", "x.doc_id", "x.score").join(t.documents.select("doc_id"), "doc_id", "left_semi")
-    return pj.scoped_search(queries, own, shared)
+    """A source's own documents; the global hits are the 20 longest documents of the language of its first one."""
+    docs = t.documents
+    queries = docs.groupBy(F.col("source").alias("query_id")).agg(F.min_by("lang", "doc_id").alias("lang")).withColumn("regulations", F.array(F.lit("tionthe"), F.lit("enther")))
+    own = docs.select(F.col("source").alias("query_id"), "doc_id", "text")
+    longest = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
+    top = docs.select("lang", "doc_id", "n_chars", longest.alias("r")).filter("r <= 20")
+    shared = queries.join(top, "lang").select("query_id", "doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("score"))
+    return pj.scoped_search(queries.select("query_id", "regulations"), own, shared)
 
 
 @query("SELECT p_partkey, round(CASE WHEN contains(p_type, 'STEEL') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'brand#1') THEN 0.2 ELSE 0 END + CASE WHEN contains(lower(p_name), '1') THEN 0.3 WHEN contains(lower(p_type), '1') THEN 0.2 ELSE 0 END + CASE WHEN p_size < 18 THEN 0.1 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score FROM part")
@@ -98,8 +108,9 @@ def h8_case_search(t):
     return t.part.select("p_partkey", score.alias("score"))
 
 
-_LINKS = "SELECT CAST(o_orderkey % 200 AS BIGINT) AS src, CAST((o_orderkey * 7 + 3) % 200 AS BIGINT) AS dst FROM {orders} WHERE o_orderkey % 5 = 0 AND o_orderkey % 200 < (o_orderkey * 7 + 3) % 200"
-_PROPOSED = "SELECT DISTINCT CAST((o_orderkey * 7 + 3) % 200 AS BIGINT) AS src, CAST(o_orderkey % 200 AS BIGINT) AS dst FROM {orders} WHERE o_orderkey % 3 = 0"
+# An order leads to a later one, unless its key ends a run; the proposals lead back.
+_LINKS = "SELECT o_orderkey AS src, o_orderkey + 1 + o_orderkey % 3 AS dst FROM {orders} WHERE o_orderkey % 8 < 5"
+_PROPOSED = "SELECT o_orderkey + 2 AS src, o_orderkey AS dst FROM {orders} UNION SELECT o_orderkey + 9, o_orderkey FROM {orders}"
 
 
 @query("SELECT p.src, p.dst, count(w.src) > 0 AS circular FROM pr p LEFT JOIN (SELECT DISTINCT src, dst FROM walk WHERE here = src OR d = 5) w ON w.src = p.src AND w.dst = p.dst GROUP BY p.src, p.dst",

@@ -14,7 +14,7 @@ CORPUS = """
 SELECT concat('c', CAST(doc_id AS STRING)) AS chunk_id, doc_id, society, chapter_section, version_year,
   concat(society, ' ', chapter_section, ' (', CAST(version_year AS STRING), '): ', grade, ' plate thickness not less than ',
          CAST(10 + doc_id % 9 AS STRING), ' mm, preheat ', CAST(100 + 25 * (doc_id % 3) AS STRING), ' C for ', ship,
-         CASE WHEN doc_id % 8 = 0 THEN ', except DH32 on ferry. ' ELSE '. ' END, substr(text, 1, 400)) AS text
+         CASE WHEN doc_id % 8 = 0 THEN ', except DH32 on ferry. ' ELSE '. ' END, text) AS text
 FROM (SELECT doc_id, text,
     CASE doc_id % 10 WHEN 0 THEN 'DNV' WHEN 1 THEN 'ABS' WHEN 2 THEN 'CCS' WHEN 3 THEN 'LR' WHEN 4 THEN 'BV'
                      WHEN 5 THEN 'NK' WHEN 6 THEN 'RINA' WHEN 7 THEN 'KR' WHEN 8 THEN 'IMO' ELSE 'IACS' END AS society,
@@ -31,7 +31,7 @@ SELECT item_id AS query_id,
   concat(CASE item_id % 4 WHEN 0 THEN 'Compare DNV and ABS' WHEN 1 THEN 'Why does CCS' WHEN 2 THEN 'Summary of all LR' ELSE 'List' END,
     ' Pt.', CAST(item_id % 5 + 1 AS STRING), CASE WHEN item_id % 3 = 0 THEN ' Ch.2' ELSE '' END,
     CASE item_id % 5 WHEN 0 THEN ' EH36 fatigue' WHEN 1 THEN ' welding preheat 125 C' WHEN 2 THEN ' 2019 thickness requirement' ELSE ' rules' END,
-    CASE WHEN item_id % 2 = 0 THEN concat(' ', substr(text, 1, 60)) ELSE '' END) AS query
+    CASE WHEN item_id % 2 = 0 THEN concat(' ', text) ELSE '' END) AS query
 FROM {benchmark}
 """
 GRAPH_EDGES = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.operators.graph import cut
 from tideline.operators import retrieval as rt
 from tideline.plans.registry import query
 
@@ -77,7 +78,7 @@ _FUSED = "SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY
 def _fused(t):
     from pyspark.sql import Window
 
-    first = rt.bm25_top_k(_queries(t), _docs(t))
+    first = cut(rt.bm25_top_k(_queries(t), _docs(t)))
     second = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     lists = first.select("query_id", F.lit(0).alias("list_no"), "rank", "chunk_id").union(second.select("query_id", F.lit(1), "rank", "chunk_id"))
     return rt.reciprocal_ranks(lists)
@@ -96,11 +97,11 @@ def d6_rerank(t):
     return rt.rerank(_fused(t), _queries(t), _docs(t))
 
 
-@query("SELECT source, doc_id FROM fold WHERE kept",
-       items=r"SELECT source, doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents",
+@query("SELECT source AS conv_id, doc_id AS turn FROM fold WHERE kept",
+       items=r"SELECT conv_id AS source, turn AS doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations",
        fold="SELECT source, i, doc_id, w AS last, true AS kept FROM items WHERE i = 1 UNION ALL SELECT x.source, x.i, x.doc_id, CASE WHEN s THEN f.last ELSE x.w END, NOT s FROM (SELECT f.source, f.i, f.last, x.w AS xw, CASE WHEN len(f.last) + len(x.w) = 0 THEN true ELSE len(list_intersect(f.last, x.w))::DOUBLE / nullif(len(f.last) + len(x.w) - len(list_intersect(f.last, x.w)), 0) >= 0.85 END AS s FROM fold f JOIN items x ON x.source = f.source AND x.i = f.i + 1) f JOIN items x ON x.source = f.source AND x.i = f.i + 1")
 def d7_adjacent_dedup(t):
-    return rt.adjacent_dedup(t.documents, "source", "doc_id")
+    return rt.adjacent_dedup(t.conversations, "conv_id", "turn")
 
 
 @query("SELECT DISTINCT h.conv_id AS query_id, c.conv_id AS doc_id, c.turn AS position FROM conversations h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 3 AND h.turn + 3 WHERE h.role = 'system' OR h.turn = 5")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicon as lx
 from tideline.functions import text as tx
 from tideline.operators import tables as tb
+from tideline.operators.graph import shared_dir
 from tideline.plans.registry import MARKDOWN_SPARK, query
 from tideline.sources import documents as sd
 
@@ -25,6 +28,24 @@ def a2_detect_format(t):
     return _files(t).select("page_id", sd.detect_format(F.col("path"), F.col("content")).alias("format"))
 
 
+def _written(t, name):
+    """A new folder in the shared place."""
+    return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT lang, source, lang IN ('en', 'fr') AS success, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE 'unsupported extension: txt' END AS error, CASE WHEN lang IN ('en', 'fr') THEN 'csv' END AS format, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY lang, source")
+def a1_read_batch(t):
+    """Files of document ids by language and source, read as a batch; those of two languages have an extension that nobody knows."""
+    path = _written(t, "files")
+    ids = t.documents.select("lang", "source", F.col("doc_id").cast("string").alias("value")).repartition("lang", "source")
+    ids.filter("lang in ('en', 'fr')").write.partitionBy("lang", "source").csv(f"{path}/known")
+    ids.filter("lang not in ('en', 'fr')").write.partitionBy("lang", "source").text(f"{path}/unknown")
+    found = sd.read_batch(t.spark, f"{path}/*/*/*/*")
+    lang, source = (F.regexp_extract("path", f"/{n}=([^/]*)/", 1).alias(n) for n in ("lang", "source"))
+    # A folder may hold several files.
+    return found.groupBy(lang, source, "success", "error", "format").agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
+
+
 @query(f"SELECT page_id, format, CASE WHEN h IS NULL THEN 'no content' WHEN format IS NULL THEN concat('unsupported extension: ', lower(ext)) END AS error, h IS NOT NULL AND format IS NOT NULL AS success FROM (SELECT *, {_FMT} AS format FROM (SELECT page_id, {_HEADS} AS h, {_EXT} AS ext FROM pages))")
 def a1_batch_source(t):
     return sd.with_status(_files(t)).select("page_id", "format", "error", "success")
@@ -45,12 +66,16 @@ def a4_document_record(t):
     return t.documents.select("doc_id", *sd.document_record(fields)).select("doc_id", "filename", "language", "domain", "system", "vessel_types", "custom_tags")
 
 
-@query("SELECT doc_id, source, n_chars, lang FROM documents WHERE source IS NOT NULL")
+@query("SELECT o_custkey AS folder, o_orderkey, o_totalprice, o_orderpriority, false AS refused FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT NULL, o_orderkey, NULL, NULL, true FROM orders WHERE o_orderkey % 7 = 0")
 def a5_document_sink(t):
-    """What a reader of the per-document JSON finds: a round trip through the text form."""
-    payload = F.to_json(F.struct("source", "n_chars", "lang"))
-    back = F.from_json(payload, "source string, n_chars bigint, lang string")
-    return t.documents.filter("source is not null").select("doc_id", back.alias("b")).select("doc_id", "b.source", "b.n_chars", "b.lang")
+    """Orders as JSON in a folder of each customer, read again; every seventh has no payload and is refused."""
+    path = _written(t, "json")
+    payload = F.when(F.col("o_orderkey") % 7 != 0, F.to_json(F.struct("o_orderkey", "o_totalprice", "o_orderpriority")))
+    refused = sd.write_documents(t.orders.select("o_custkey", "o_orderkey", payload.alias("payload")).repartition("o_custkey"), path, "o_custkey")
+    back = F.from_json("payload", "o_orderkey bigint, o_totalprice double, o_orderpriority string")
+    good = sd.read_documents(t.spark, path, "o_custkey").select(F.col("o_custkey").cast("long").alias("folder"), back.alias("b")).select("folder", "b.*", F.lit(False).alias("refused"))
+    bad = refused.select(F.lit(None).cast("long").alias("folder"), "o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderpriority"), F.lit(True).alias("refused"))
+    return good.unionByName(bad)
 
 
 @query("""SELECT n_regionkey AS doc_id, string_agg(concat('# Table ', CAST(n_nationkey AS VARCHAR), chr(10), CASE WHEN n_nationkey % 5 = 4 THEN '# (failed)' ELSE concat('key,name', chr(10), CAST(n_nationkey AS VARCHAR), ',', n_name) END), chr(10) ORDER BY n_nationkey) AS csv FROM nation GROUP BY n_regionkey""")
@@ -88,10 +113,10 @@ def b1_society(t):
     return t.corpus.select("chunk_id", tx.society(F.col("text"), default="Unknown").alias("society"))
 
 
-@query(r"""SELECT p.page_id, coalesce(nullif(regexp_replace(regexp_extract(CASE WHEN p.page_id % 2 = 0 THEN url ELSE '' END, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), ''), nullif(trim(substr(regexp_extract(trim(d.text), '^([^\n]*)', 1), 1, 120)), ''), 'Unknown') AS regulation FROM pages p JOIN documents d ON d.doc_id = p.page_id""")
+@query(r"""SELECT d.doc_id, coalesce(nullif(regexp_replace(regexp_extract(CASE WHEN p.page_id % 2 = 0 THEN url ELSE '' END, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1'), ''), nullif(trim(substr(regexp_extract(trim(d.text), '^([^\n]*)', 1), 1, 120)), ''), 'Unknown') AS regulation FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id""")
 def b2_regulation_name(t):
-    j = t.pages.join(t.documents, F.col("doc_id") == F.col("page_id"))
-    return j.select("page_id", tx.regulation_name(F.col("text"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("")).alias("regulation"))
+    j = t.documents.join(t.pages, F.col("doc_id") == F.col("page_id"), "left")
+    return j.select("doc_id", tx.regulation_name(F.col("text"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("")).alias("regulation"))
 
 
 @query(r"SELECT chunk_id, nullif(regexp_extract(text, '(20\d{2}|19\d{2})', 1), '') AS version_year FROM corpus")
@@ -143,7 +168,7 @@ def b8_query_analysis(t):
     return t.corpus.select("chunk_id", tx.society(c).alias("society"), tx.chapter_section(c).alias("chapter"), tx.version_year(c).cast("int").alias("year"), tx.semantic_query(c, tx.keywords(c)).alias("semantic_query"))
 
 
-_CODES = "CASE item_id % 3 WHEN 0 THEN concat(' DNV-ST-N', CAST(item_id AS STRING), ' ') WHEN 1 THEN concat('ABS rules ', CAST(item_id AS STRING)) ELSE substr(text, 1, 80) END"
+_CODES = "CASE item_id % 3 WHEN 0 THEN concat(' DNV-ST-N', CAST(item_id AS STRING), ' ') WHEN 1 THEN concat('ABS rules ', CAST(item_id AS STRING)) ELSE text END"
 _EXACT = "regexp_matches(trim(q), '^[A-Z]{2,6}-[A-Za-z0-9-]+$')"
 _KEYQ = r"len(list_filter(string_split_regex(trim(q), '\s+'), lambda w: w <> '')) <= 5 AND len(list_filter(string_split_regex(trim(q), '\s+'), lambda w: upper(w) = w AND lower(w) <> w AND length(w) >= 2)) > 0"
 
@@ -218,9 +243,12 @@ def b17_classify(t):
     return t.documents.select("doc_id", label.alias("label"))
 
 
-@query()
+@query("""SELECT doc_id, CAST(b AS INTEGER) AS position, string_agg(u, chr(10) ORDER BY i) AS text, CAST(greatest(1, floor((sum(length(u)) + count(*) - 1) / 4)) AS INTEGER) AS n_tokens FROM fold GROUP BY doc_id, b""",
+       ln="SELECT doc_id, line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) WHERE trim(line) <> ''",
+       un="SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i FROM (SELECT doc_id, n, k, substr(line, 1 + 512 * k, 512) AS u FROM (SELECT doc_id, line, n, unnest(range(0, greatest(1, CAST(ceil(length(line) / 512) AS BIGINT)))) AS k FROM ln))",
+       fold="SELECT doc_id, i, u, length(u) AS c, 0 AS b FROM un WHERE i = 1 UNION ALL SELECT x.doc_id, x.i, x.u, CASE WHEN floor((f.c + 1 + length(x.u)) / 4) <= 128 THEN f.c + 1 + length(x.u) ELSE length(x.u) END, CASE WHEN floor((f.c + 1 + length(x.u)) / 4) <= 128 THEN f.b ELSE f.b + 1 END FROM fold f JOIN un x ON x.doc_id = f.doc_id AND x.i = f.i + 1")
 def c1_chunker(t):
-    return tb.chunks(t.documents)
+    return tb.chunks(t.documents, 128)
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {_SCORE} AS score, concat_ws('; ', CASE WHEN l_linenumber > 3 THEN 'merged cells' END, CASE WHEN l_returnflag = 'R' THEN 'crosses pages' END, CASE WHEN l_partkey % 2 = 0 THEN 'footnote references' END, CASE WHEN l_partkey % 3 = 0 THEN 'parenthetical values' END, CASE WHEN l_partkey % 5 = 0 THEN 'footnotes' END, CASE WHEN l_suppkey % 12 > 8 OR l_quantity > 50 THEN 'large' END, CASE WHEN l_partkey % 7 = 0 THEN 'borderless' END) AS reasons FROM lineitem")
@@ -271,11 +299,13 @@ def c8_merge_fragments(t):
     return tb.merged_fragments(tb.split_groups(_fragments(t)))
 
 
-@query("""SELECT source, CAST(b AS INTEGER) AS batch_no, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS n_tokens FROM fold GROUP BY source, b""",
-       items="SELECT source, doc_id, greatest(0, CAST(floor(length(text) / 4) AS BIGINT)) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents",
-       fold="SELECT source, i, c, c AS t, 1 AS n, 0 AS b FROM items WHERE i = 1 UNION ALL SELECT x.source, x.i, x.c, CASE WHEN f.t + x.c > 6000 OR f.n >= 200 THEN x.c ELSE f.t + x.c END, CASE WHEN f.t + x.c > 6000 OR f.n >= 200 THEN 1 ELSE f.n + 1 END, CASE WHEN f.t + x.c > 6000 OR f.n >= 200 THEN f.b + 1 ELSE f.b END FROM fold f JOIN items x ON x.source = f.source AND x.i = f.i + 1")
+@query("""SELECT source AS doc_id, CAST(b AS INTEGER) AS batch_no, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS n_tokens FROM fold GROUP BY source, b""",
+       items="SELECT doc_id AS source, greatest(0, CAST(floor(length(line) / 4) AS BIGINT)) AS c, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)",
+       fold="SELECT source, i, c, c AS t, 1 AS n, 0 AS b FROM items WHERE i = 1 UNION ALL SELECT x.source, x.i, x.c, CASE WHEN f.t + x.c > 300 OR f.n >= 20 THEN x.c ELSE f.t + x.c END, CASE WHEN f.t + x.c > 300 OR f.n >= 20 THEN 1 ELSE f.n + 1 END, CASE WHEN f.t + x.c > 300 OR f.n >= 20 THEN f.b + 1 ELSE f.b END FROM fold f JOIN items x ON x.source = f.source AND x.i = f.i + 1")
 def c9_token_batches(t):
-    return tb.token_batches(t.documents.select("source", "doc_id", tx.tokens(F.col("text"), 0).alias("c")), "source", "doc_id", "c")
+    """The lines of a document."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return tb.token_batches(lines.select("doc_id", "line_no", tx.tokens(F.col("line"), 0).alias("c")), "doc_id", "line_no", "c", 300, 20)
 
 
 @query("SELECT page_id, md5(replace(html, concat('<!-- ad ', CAST(page_id AS VARCHAR), ' -->'), concat('![f](', CAST(page_id AS VARCHAR), '.png)'))) AS bound FROM pages")

@@ -89,6 +89,11 @@ def write_documents(docs: DataFrame, path: str, by: str = "doc_id") -> DataFrame
     return docs.filter(bad)
 
 
+def read_documents(spark: SparkSession, path: str, by: str = "doc_id") -> DataFrame:
+    """What write_documents() wrote: the id and the payload."""
+    return spark.read.schema(f"payload string, {by} string").json(path)
+
+
 def table_csv(tables: DataFrame) -> DataFrame:
     """doc_id, csv: all tables of a document, in order, under '# Table n'; a table without rows becomes a marker line."""
     body = F.concat(F.lit("# Table "), F.col("table_no").cast("string"), F.lit("\n"), F.coalesce("csv", F.lit("# (failed)")))
