@@ -3,6 +3,10 @@
 A page becomes blocks of text in page order. A linear classifier over a block's ancestors, links and length gives the cost
 of calling it content or boilerplate; the two costs are its capacities to the terminals. Neighbours in page order, and
 neighbours under one parent element, are joined by smoothness edges. The minimum cut (maximum flow) separates content.
+
+Costs and edges have one scale: what a single element's name or class says (at most 4) can be outweighed by the block's
+length (up to 2.4), its links (4) and its neighbours (up to 3.4), so a paragraph between others of one article stays whatever
+its class, and a box of its own goes. Only what a browser doesn't show is out of question.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ _BLOCKS = frozenset(
     " head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TAG = {"nav": -8, "menu": -8, "footer": -8, "aside": -8, "form": -8, "dialog": -8, "button": -8, "label": -6, "fieldset": -6, "article": 5, "main": 4, "head": -20}
+_TAG = {"nav": -4, "menu": -4, "footer": -4, "aside": -4, "form": -4, "dialog": -4, "button": -4, "label": -3, "fieldset": -3, "article": 2, "main": 2, "head": -20}
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _CLASS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adbox banner sponsor sponsored promo promotion promoted menu nav navbar navigation"
@@ -39,6 +43,10 @@ _CLASS = frozenset(
 )
 _WRAPPER = frozenset("with has without no".split())
 _CONTENT = frozenset("article content main post entry story body text".split())
+#: Log odds: of an element whose class or role names boilerplate, or content; of one that isn't shown; of a block of no words
+#: outside everything, for each doubling of its words up to 64, and of standing wholly in links.
+NAMED, CONTENT, HIDDEN, BASE, DOUBLING, LINKED = -4.0, 1.0, -20.0, -0.3, 0.45, -4.0
+#: Capacities between neighbours in page order, and under one parent.
 ADJACENT, SIBLING = 0.7, 1.0
 
 
@@ -50,20 +58,22 @@ class _Open:
 
 
 def _prior(tag: str, attrs: str, article: bool) -> float:
-    """What an element says about the text under it, as log odds of content."""
+    """What an element says about the text under it, as log odds of content; article: whether it stands in one."""
     w = _TAG.get(tag, 0)
     if tag == "header":
-        w = 0 if article else -8
+        w = 0 if article else _TAG["nav"]
     if not attrs.strip(" /") or tag in ("html", "body"):
         return w
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)}
     names = set(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
     if names & _CLASS and not names & _WRAPPER and not (tag == "article" or tag[0] == "h" and tag[1:].isdigit()):
-        w = min(w, -8)
+        w = min(w, NAMED)
     elif names & _CONTENT and w >= 0:
-        w += 2
-    if found.get("role", "").lower() in _ROLE or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        w = min(w, -8)
+        w += CONTENT
+    if found.get("role", "").lower() in _ROLE:
+        w = min(w, NAMED)
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+        w = HIDDEN
     return w
 
 
@@ -81,7 +91,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if text:
             top = stack[-1]
             n = text.count(" ") + 1
-            score = top.prior - 1.5 + 0.9 * math.log2(1 + n) - 6 * min(1.0, linked / len(text))
+            score = top.prior + BASE + DOUBLING * min(6.0, math.log2(1 + n)) + LINKED * min(1.0, linked / len(text))
             own = top.id
             if top.tag in ("p", "li", "td", "dd", "dt", "b", "h1", "h2", "h3", "h4", "h5", "h6", "pre") and len(stack) > 1:
                 own = stack[-2].id
@@ -138,7 +148,9 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if prior < 0 and tag not in _BLOCKS:
             flush()
         number += 1
-        stack.append(_Open(tag, top.prior + prior if prior < 0 or top.prior < 0 else max(top.prior, prior), top.article or tag in ("article", "main"), number))
+        # Boilerplate within content is boilerplate, and content within boilerplate isn't content.
+        within = min(top.prior, 0) + prior if prior < 0 else top.prior if top.prior < 0 else max(top.prior, prior)
+        stack.append(_Open(tag, within, top.article or tag in ("article", "main"), number))
     say(page[at:])
     flush()
     return out
@@ -201,8 +213,8 @@ def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> lis
     return [bool(x) for x in side]
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def labelled(found: list[tuple[str, float, int]]) -> list[bool]:
+    """Which of the blocks (text, score, parent) are content."""
     edges: dict[tuple[int, int], float] = {(i, i + 1): ADJACENT for i in range(len(found) - 1)}
     last: dict[int, int] = {}
     for i, (_, _, parent) in enumerate(found):
@@ -210,16 +222,21 @@ def main_text(page: str | None) -> str:
             pair = (last[parent], i)
             edges[pair] = edges.get(pair, 0.0) + SIBLING
         last[parent] = i
-    content = minimum_cut([s for _, s, _ in found], edges)
-    return "\n\n".join(text for (text, _, _), keep in zip(found, content, strict=True) if keep)
+    return minimum_cut([s for _, s, _ in found], edges)
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    return "\n\n".join(text for (text, _, _), keep in zip(found, labelled(found), strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     Null or empty html gives an empty text. Cut-off tags, comments and scripts end with the page; character references
-    without a semicolon are decoded as browsers do. Repeated rows give repeated rows; an empty table gives none; other
-    columns are ignored.
+    without a semicolon are decoded as browsers do. A page without any structure is all main text. Repeated rows give
+    repeated rows; a null page_id is kept; an empty table gives none; other columns are ignored. Very long pages are taken
+    whole, in time by their blocks and what the cut has left to settle.
     """
 
     def run(batches):
