@@ -6,6 +6,11 @@ digest from several. Two sketches of one size subtract cell by cell; cells that
 empties others (peeling), until the digests that differ are known. If a block keeps some, its
 digests are sketched larger and peeled again. Likeness is shared over all digests.
 
+A fingerprint can always be peeled by itself: a block that can't is stored four times larger, and so on. So two fingerprints
+tell their difference whatever their sizes: the digests of the smaller one are peeled and sketched in the larger one's size,
+and likewise those of a block whose difference can't be peeled. The likeness is a function of the two strings alone; the
+digests that the expressions below take beside the cells are what the cells peel to.
+
 The next document is found by a window within ranges of ids; the first row of a range also stands at the end of the range
 before it, so one shuffle of the texts is enough and no range is a whole table.
 """
@@ -21,9 +26,9 @@ from pyspark.sql import functions as F
 THIRD, LOAD, ROUNDS, TRIES = 6, 12, 8, 4
 #: Bits of a digest that check the others.
 CHECK = (1 << 24) - 1
-#: Paragraphs over this many characters are cut after sentences.
+#: What a paragraph is: a line, and of lines over this many characters each sentence.
 LONG_PARAGRAPH = 400
-#: Rows of a range of ids, and ranges at most.
+#: Rows of a range of ids, and ranges at most (their borders go through the driver; past it ranges grow, and are sorted on disk).
 RANGE_ROWS, MOST_RANGES = 400, 20_000
 
 
@@ -70,15 +75,26 @@ def _outer(blocks: Column) -> Column:
     return F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("long")
 
 
-def sketch(keys: Column, blocks: Column, above: Column | None = None) -> Column:
-    """array (block) of arrays (cell) of long."""
+def sketch(keys: Column, blocks: Column, above: Column | None = None, whole: bool = False) -> Column:
+    """array (block) of arrays (cell) of long. whole: so that every block can be peeled, some of them larger."""
     zero = F.lit(0).cast("long")
     above = F.lit(1) if above is None else above
     outer = _outer(blocks)
 
-    def block(own: Column) -> Column:
+    def plain(own: Column) -> Column:
         return _bound(F.transform(own, _placed), lambda entries: F.transform(F.sequence(F.lit(0), F.lit(3 * THIRD - 1)), lambda j: _into(zero, j, entries)))
 
+    def block(own: Column) -> Column:
+        if not whole:
+            return plain(own)
+
+        def larger(n: int) -> Column:
+            return _bound(sketch(own, F.lit(4**n), blocks), lambda cells: F.when(_given_up(peel(cells)) == F.size(own), F.flatten(cells)))
+
+        # Past the last size the digests themselves are listed; their number then isn't one of cells.
+        listed = F.when(F.size(own) % (3 * THIRD) == 0, F.array_append(own, F.get(own, F.lit(0)))).otherwise(own)
+        return _bound(plain(own), lambda cells: F.when(_given_up(peel(F.array(cells))) == F.size(own), cells).otherwise(F.coalesce(*(larger(n) for n in range(1, TRIES)), listed)))
+
     def group(g: Column) -> Column:
         some = F.filter(keys, lambda k: F.pmod(_digits(k, above), outer) == g)
         inner = (blocks / outer).cast("long")
@@ -96,8 +112,9 @@ def _of_block(keys: Column, i: Column, blocks: Column) -> Column:
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """Cell by cell; the sketches have one size."""
-    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda c, e: c.bitwiseXOR(e)))
+    """Cell by cell; the sketches have one number of blocks. Null for a block that one of them stores larger."""
+    plain = lambda x: F.size(x) == 3 * THIRD
+    return F.zip_with(a, b, lambda x, y: F.when(plain(x) & plain(y), F.zip_with(x, y, lambda c, e: c.bitwiseXOR(e))))
 
 
 def peel(difference: Column) -> Column:
@@ -120,20 +137,24 @@ def peel(difference: Column) -> Column:
             lambda s: F.when(F.forall(s["cells"], lambda c: c == 0), s["found"]),
         )
 
-    return F.transform(difference, block)
+    return F.transform(difference, lambda cells: F.when(cells.isNotNull(), block(cells)))
+
+
+def _given_up(peeled: Column) -> Column:
+    """How many digests the blocks gave up; null if one keeps some."""
+    return _bound(peeled, lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.aggregate(p, F.lit(0), lambda n, x: n + F.size(x))))
 
 
 def peeled_count(a: Column, b: Column) -> Column:
     """How many digests only one of two sketches has; null if a block keeps some."""
-    total = lambda p: F.when(F.forall(p, lambda x: x.isNotNull()), F.aggregate(p, F.lit(0), lambda n, x: n + F.size(x)))
-    return _bound(peel(subtract(a, b)), total)
+    return _given_up(peel(subtract(a, b)))
 
 
 def difference_size(a: Column, b: Column, a_cells: Column, b_cells: Column, a_size: Column, b_size: Column) -> Column:
     """How many digests differ, by sketches of the larger of the rows' sizes (the rows' own where that is their size).
 
-    A block that can't be peeled is sketched again from its digests alone, four times larger each time; past the last size
-    the sets themselves tell.
+    a, b: the digests that the cells peel to. A block whose difference can't be peeled, or that is stored larger, is
+    sketched again from its digests alone, four times larger each time; past the last size the sets themselves tell.
     """
     size = F.greatest(a_size, b_size)
     own = subtract(F.when(a_size == size, a_cells).otherwise(sketch(a, size)), F.when(b_size == size, b_cells).otherwise(sketch(b, size)))
@@ -155,8 +176,9 @@ def likeness(a: Column, b: Column, d: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise((n - d) / (n + d))
 
 
-def serialised(blocks: Column, cells: Column, digest: Column) -> Column:
-    return F.concat_ws(":", digest, blocks.cast("string"), F.array_join(F.transform(F.flatten(cells), lambda c: F.hex(c)), ","))
+def serialised(cells: Column, digest: Column) -> Column:
+    """The text's digest and, after a colon each, the cells of every block in hex."""
+    return F.concat_ws(":", digest, F.array_join(F.transform(cells, lambda b: F.array_join(F.transform(b, lambda c: F.hex(c)), ",")), ":"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -175,7 +197,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     bucket = F.aggregate(F.sequence(F.lit(1), F.lit(len(starts).bit_length() + 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(starts)).alias("hi")), halve, lambda s: s["lo"])
     d = d.withColumn("keys", paragraph_digests(F.col("text"))).withColumn("size", blocks_for(F.size("keys")))
-    d = d.withColumn("cells", sketch(F.col("keys"), F.col("size"))).withColumn("bucket", bucket)
+    d = d.withColumn("cells", sketch(F.col("keys"), F.col("size"), whole=True)).withColumn("bucket", bucket)
     stand = lambda b, copy, wrap: F.struct(b.cast("int").alias("bucket"), F.lit(copy).alias("copy"), F.lit(wrap).alias("wrap"))
     stands = F.array_compact(F.array(
         stand(F.col("bucket"), False, False),
@@ -192,7 +214,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null text is empty; an empty text has no paragraphs, and is like another such text alone. Null ids come last. Rows of one
     doc_id follow each other by text. A paragraph that a text repeats counts once. An empty table gives no rows; a table of
-    one row has itself as its next. Other columns are ignored.
+    one row has itself as its next. Repeated rows are each a row, and the next of one another. Very long texts have more
+    blocks. Other columns are ignored.
     """
     d = with_next(docs)
     n = F.length("text").cast("long")
@@ -200,15 +223,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next.text", F.lit(1), quarter)))
     d = d.select("doc_id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "size", "cells", F.col("next.keys").alias("next_keys"), F.col("next.size").alias("next_size"), F.col("next.cells").alias("next_cells"), paragraph_digests(F.col("edited")).alias("edited_keys"), F.md5(F.col("text").cast("binary")).alias("digest"), F.md5(F.col("edited").cast("binary")).alias("edited_digest"))
     d = d.withColumn("edited_size", blocks_for(F.size("edited_keys")))
-    d = d.withColumns({"edited_cells": sketch(F.col("edited_keys"), F.col("edited_size"))})
+    d = d.withColumns({"edited_cells": sketch(F.col("edited_keys"), F.col("edited_size"), whole=True)})
     d = d.withColumns({
         "d_edited": difference_size(*map(F.col, ("keys", "edited_keys", "cells", "edited_cells", "size", "edited_size"))),
         "d_next": difference_size(*map(F.col, ("keys", "next_keys", "cells", "next_cells", "size", "next_size"))),
     })
     return d.select(
         "doc_id", "n_chars", "edited_sha256",
-        serialised(F.col("size"), F.col("cells"), F.col("digest")).alias("fingerprint"),
-        serialised(F.col("edited_size"), F.col("edited_cells"), F.col("edited_digest")).alias("edited_fingerprint"),
+        serialised(F.col("cells"), F.col("digest")).alias("fingerprint"),
+        serialised(F.col("edited_cells"), F.col("edited_digest")).alias("edited_fingerprint"),
         likeness(F.col("keys"), F.col("edited_keys"), F.col("d_edited")).alias("near_edited"),
         likeness(F.col("keys"), F.col("next_keys"), F.col("d_next")).alias("near_next"),
     )
