@@ -2,7 +2,8 @@
 
 Labelled page outcomes are counted by host; each level's bad rate is shrunk toward its parent's (host to registered domain
 to suffix to all) by a beta-binomial prior whose strength is found by moments. A host is blocked if the lower bound of its
-posterior bad rate exceeds the threshold. Explicit rules come first; the longest that fits wins.
+posterior bad rate exceeds the threshold; the bound is the beta posterior's mean less 1.645 of its standard deviations (its
+normal approximation). Explicit rules come first; the longest that fits wins.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import staged
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 THRESHOLD, Z = 0.5, 1.645
+#: Suffixes of several labels under which domains are registered; any other host's suffix is its last label.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.in", "co.jp", "co.nz", "co.za", "com.br", "com.cn", "com.mx", "com.tr")
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 200.0
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,12 +31,20 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix(h: Column) -> Column:
-    return F.substring_index(h, ".", -1)
+def suffix_labels(h: Column, suffixes=SUFFIXES) -> Column:
+    """How many labels of a host without port are its suffix."""
+    n = F.lit(1)
+    for k in sorted({s.count(".") + 1 for s in suffixes}):
+        n = F.when(F.substring_index(h, ".", -k).isin(*(s for s in suffixes if s.count(".") + 1 == k)), k).otherwise(n)
+    return n
 
 
-def domain(h: Column) -> Column:
-    return F.substring_index(h, ".", -2)
+def levels(h: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host; a port belongs to neither."""
+    bare = F.regexp_replace(h, ":[0-9]*$", "")
+    labels, n = F.split(bare, r"\."), suffix_labels(bare, suffixes)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k), ".")
+    return last(n + 1), last(n)
 
 
 def matched(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
@@ -44,13 +57,14 @@ def matched(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """host, n, bad, rate, bound from rows (host, n, bad), one per host: rate is the posterior mean, bound its lower bound.
 
     A level whose groups show no more spread than chance gets the strongest prior. Hosts without labels take their domain's
     rate. The three strengths and the overall rate are single numbers; the counts stay distributed.
     """
-    hosts = outcomes.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    domain, suffix = levels(F.col("host"), suffixes)
+    hosts = staged(outcomes.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix")))  # counted once
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -69,17 +83,18 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return hosts.join(domains, "domain").select("host", "n", "bad", rate.alias("rate"), (rate - Z * F.sqrt(rate * (1 - rate) / (total + 1))).alias("bound"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
     labels (doc_id, quality) tell the outcome of the page with that page_id: quality 0 is bad; null or absent is no outcome,
     and of several the worst counts. Null urls, and those without ://, have an empty host and path, fit no rule, and share
-    the reputation of the empty host. Repeated rows are each judged; an empty table gives none; other columns are ignored.
+    the reputation of the empty host. Repeated rows are each judged; a null page_id has no outcome; an empty table gives
+    none; other columns are ignored; urls of any length are taken whole.
     """
     p = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     worst = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).cast("long").alias("bad"))
     counts = p.join(worst, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    blocked = reputations(counts).filter(F.col("bound") > THRESHOLD).select("host", F.lit("block").alias("reputation"))
+    blocked = reputations(counts, suffixes).filter(F.col("bound") > THRESHOLD).select("host", F.lit("block").alias("reputation"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     return p.join(blocked, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("reputation"), F.lit("allow")).alias("verdict"))
 
@@ -89,8 +104,11 @@ WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 w AS (SELECT doc_id, CASE WHEN min(quality) = 0 THEN 1 ELSE 0 END AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS dom, string_split(host, '.')[-1] AS suf,
-             count(w.bad) AS n, coalesce(sum(w.bad), 0) AS bad FROM p LEFT JOIN w ON p.page_id = w.doc_id GROUP BY host),
+h0 AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS lab, count(w.bad) AS n, coalesce(sum(w.bad), 0) AS bad
+       FROM p LEFT JOIN w ON p.page_id = w.doc_id GROUP BY host),
+h1 AS (SELECT *, CASE WHEN array_to_string(list_slice(lab, -2, -1), '.') IN ('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'net.au', 'org.au',
+       'co.in', 'co.jp', 'co.nz', 'co.za', 'com.br', 'com.cn', 'com.mx', 'com.tr') THEN 2 ELSE 1 END AS k FROM h0),
+h AS (SELECT host, n, bad, array_to_string(list_slice(lab, -k - 1, -1), '.') AS dom, array_to_string(list_slice(lab, -k, -1), '.') AS suf FROM h1),
 d AS (SELECT suf, dom, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suf, dom),
 s AS (SELECT suf, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suf),
 o AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0)::DOUBLE AS m FROM s),
