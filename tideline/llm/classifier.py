@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix, shingle_hashes, span_hashes, text_chunks, word_spans
+from tideline.llm.common import SLICE, mix, shingle_hashes, span_hashes, text_chunks, word_spans
 
-#: Labelled documents that the model is fitted on, at most; words of a passage.
-SAMPLE, PASSAGE = 2000, 64
+#: Labelled documents that the model is fitted on, at most, and passages of each (spread over the text); words of a passage.
+SAMPLE, SAMPLE_PASSAGES, PASSAGE = 2000, 200, 64
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 16, 8, 150, 0.03, 1e-4
 THRESHOLD = 0.7
 
@@ -38,23 +38,35 @@ def encode(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_passages = np.maximum(1, -(-n_words // PASSAGE))
     base = np.append(0, np.cumsum(n_passages))
     out = np.zeros((base[-1], WIDTH))
-    if not start.size:
+    if not base[-1]:
         return out, base
     doc = np.repeat(np.arange(ends.size), n_words)
     place = np.arange(start.size) - first[doc]
     passage = base[doc] + place // PASSAGE
     size = np.bincount(passage, minlength=base[-1])
-    heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    filled = passage[heads]
-    # Characters belong to the passage of the word before them.
-    owner = np.repeat(filled, np.diff(np.append(start[heads], data.size)))
-    lead = start[heads[0]]
-    grid = np.bincount(owner * _CLASSES + _CLASS[data[lead:]], minlength=base[-1] * _CLASSES).reshape(-1, _CLASSES)
+    # A passage has the bytes from its first word on, a document's first one from the document's start: no document
+    # counts its neighbour's.
+    begin = np.empty(base[-1] + 1, np.int64)
+    begin[passage[::-1]] = start[::-1]
+    begin[base[:-1]] = np.append(0, ends[:-1])
+    begin[-1] = data.size
+    grid = np.zeros(base[-1] * _CLASSES)
+    lo = 0
+    while lo < base[-1]:
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + SLICE, "right")) - 1)
+        for at in range(begin[lo], begin[hi], SLICE):  # more than one only where a single passage is longer
+            to = min(at + SLICE, begin[hi])
+            owner = np.repeat(np.arange(lo, hi), np.diff(np.clip(begin[lo : hi + 1], at, to)))
+            grid[lo * _CLASSES : hi * _CLASSES] += np.bincount((owner - lo) * _CLASSES + _CLASS[data[at:to]], minlength=(hi - lo) * _CLASSES)
+        lo = hi
+    grid = grid.reshape(-1, _CLASSES)
     chars = np.maximum(1, grid.sum(1))
     out[:, :_CLASSES] = np.sqrt(grid / chars[:, None])
+    if not start.size:
+        return out, base
     word = span_hashes(data, start, end)
     length = (end - start).astype(float)
-    upper = np.append(0, np.cumsum((data >= 65) & (data <= 90)))
+    upper = np.append(0, np.cumsum((data >= 65) & (data <= 90), dtype=np.int32))
     shout = (upper[end] - upper[start]) * 2 > length
     stutter = np.append(False, (word[1:] == word[:-1]) & (doc[1:] == doc[:-1]))
     in_doc = word ^ mix(doc.astype(np.uint64) + np.uint64(1))
@@ -86,6 +98,20 @@ def forward(model: dict, x: np.ndarray, base: np.ndarray) -> dict:
     return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "score": 1 / (1 + np.exp(-(z @ model["c"] + model["d"])))}
 
 
+def gradients(model: dict, x: np.ndarray, base: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of document scores, by backpropagation."""
+    inputs = (x - model["mean"]) / model["scale"]
+    f = forward(model, x, base)
+    bag, h, t, g, a = f["bag"], f["h"], f["t"], f["g"], f["a"]
+    ds = (f["score"] - y) / y.size
+    dz = ds[:, None] * model["c"]
+    da = (dz[bag] * h).sum(1)
+    de = a * (da - np.add.reduceat(a * da, base[:-1])[bag])
+    dt, dg = de[:, None] * model["w"] * g * (1 - t * t), de[:, None] * model["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dz[bag] + dt @ model["V"].T + dg @ model["U"].T) * (1 - h * h)
+    return {"W": inputs.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": de @ (t * g), "c": f["z"].T @ ds, "d": ds.sum()}
+
+
 def fit(x: np.ndarray, base: np.ndarray, y: np.ndarray, seed: int = 0) -> dict:
     """Adam on the log loss of document scores. Without labels, or with one class alone, every score is near that share."""
     rng = np.random.default_rng(seed)
@@ -97,19 +123,10 @@ def fit(x: np.ndarray, base: np.ndarray, y: np.ndarray, seed: int = 0) -> dict:
     }
     if not 0 < y.sum() < y.size:
         return model
-    inputs = (x - model["mean"]) / model["scale"]
     names = ("W", "b", "V", "U", "w", "c", "d")
     first_moment, second = ({k: np.zeros_like(model[k]) for k in names} for _ in range(2))
     for epoch in range(1, EPOCHS + 1):
-        f = forward(model, x, base)
-        bag, h, t, g, a = f["bag"], f["h"], f["t"], f["g"], f["a"]
-        ds = (f["score"] - y) / y.size
-        dz = ds[:, None] * model["c"]
-        da = (dz[bag] * h).sum(1)
-        de = a * (da - np.add.reduceat(a * da, base[:-1])[bag])
-        dt, dg = de[:, None] * model["w"] * g * (1 - t * t), de[:, None] * model["w"] * t * g * (1 - g)
-        dh = (a[:, None] * dz[bag] + dt @ model["V"].T + dg @ model["U"].T) * (1 - h * h)
-        grads = {"W": inputs.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": de @ (t * g), "c": f["z"].T @ ds, "d": ds.sum()}
+        grads = gradients(model, x, base, y)
         for k in names:
             grad = grads[k] + DECAY * model[k] * (k not in "bd")
             first_moment[k] = 0.9 * first_moment[k] + 0.1 * grad
@@ -131,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for batch in batches:
             for lo, hi, data, ends in text_chunks(batch.column(1)):
                 x, base = encode(data, ends)
-                rows = [x[base[i] : base[i + 1]].astype("<f4").tobytes() for i in range(hi - lo)]
+                spread = lambda n: np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(np.int64))
+                rows = [x[base[i] + spread(base[i + 1] - base[i])].astype("<f4").tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(rows, pa.binary()), batch.column(2)[lo:hi]], names=["doc_id", "x", "y"])
 
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").mapInArrow(passages, "doc_id long, x binary, y double").collect()
@@ -144,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; null text is empty, which is scored like any other.
 
-    Repeated rows give repeated rows with equal scores; an empty table gives none; only text is an input of a score.
+    Repeated rows give repeated rows with equal scores; an empty table gives none; only text is an input of a score, whatever
+    stands beside it in its part. A null doc_id is scored too and not held out. Very long texts are encoded in slices.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
