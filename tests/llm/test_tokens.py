@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import bpe, packing, token_counts
 from tideline.llm.vocabulary import default_path
@@ -28,8 +29,27 @@ def rows(spark, texts, schema="doc_id long, text string"):
     return spark.createDataFrame(list(enumerate(texts)), schema)
 
 
+def clashing(docs):
+    """With columns whose names the operators use themselves."""
+    return docs.withColumns({n: F.lit("clash") for n in ("ids", "n_tokens", "length", "start", "offset", "sequence_id", "tokens", "doc_tokens", "n_chars")})
+
+
+def test_odd_rows(spark, library):
+    """Null ids, repeated rows, empty tables, clashing columns, and a text longer than a chunk."""
+    long = "The quick brown fox. " * 60_000
+    docs = clashing(spark.createDataFrame([(None, "a b"), (7, "same text"), (7, "same text"), (8, None), (9, long)], "doc_id long, text string"))
+    ids = len(library.encode(long, add_special_tokens=False).ids)
+    digests = bpe.digests(docs).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in digests) == [(-1, 2), (7, 2), (7, 2), (8, 0), (9, ids)]
+    counts = token_counts.edited_counts(token_counts.sample_edits(docs))
+    assert counts.count() == 5 and token_counts.edited_counts(token_counts.sample_edits(docs.limit(0))).count() == 0
+    pieces = packing.pack(docs).collect()
+    assert sum(r["length"] for r in pieces) == 3 + 3 + 3 + 1 + ids + 1
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
 def test_pair_index_equals_library(spark, library):
-    docs = rows(spark, TEXTS + TEXTS).withColumnRenamed("x", "x")
+    docs = clashing(rows(spark, TEXTS + TEXTS))
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs).collect()}
     for i, t in enumerate(TEXTS + TEXTS):
         assert got[i] == library.encode(t or "", add_special_tokens=False).ids, t
