@@ -66,15 +66,16 @@ def a4_document_record(t):
     return t.documents.select("doc_id", *sd.document_record(fields)).select("doc_id", "filename", "language", "domain", "system", "vessel_types", "custom_tags")
 
 
-@query("SELECT o_custkey AS folder, o_orderkey, o_totalprice, o_orderpriority, false AS refused FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT NULL, o_orderkey, NULL, NULL, true FROM orders WHERE o_orderkey % 7 = 0")
+@query("SELECT strftime(o_orderdate, '%Y%m') AS folder, o_orderkey, o_totalprice, o_orderpriority, false AS refused FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT NULL, o_orderkey, NULL, NULL, true FROM orders WHERE o_orderkey % 7 = 0")
 def a5_document_sink(t):
-    """Orders as JSON in a folder of each customer, read again; every seventh has no payload and is refused."""
+    """Orders as JSON in a folder of each month, read again; every seventh has no payload and is refused."""
     path = _written(t, "json")
     payload = F.when(F.col("o_orderkey") % 7 != 0, F.to_json(F.struct("o_orderkey", "o_totalprice", "o_orderpriority")))
-    refused = sd.write_documents(t.orders.select("o_custkey", "o_orderkey", payload.alias("payload")).repartition("o_custkey"), path, "o_custkey")
+    month = F.date_format("o_orderdate", "yyyyMM").alias("month")
+    refused = sd.write_documents(t.orders.select(month, "o_orderkey", payload.alias("payload")).repartition("month"), path, "month")
     back = F.from_json("payload", "o_orderkey bigint, o_totalprice double, o_orderpriority string")
-    good = sd.read_documents(t.spark, path, "o_custkey").select(F.col("o_custkey").cast("long").alias("folder"), back.alias("b")).select("folder", "b.*", F.lit(False).alias("refused"))
-    bad = refused.select(F.lit(None).cast("long").alias("folder"), "o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderpriority"), F.lit(True).alias("refused"))
+    good = sd.read_documents(t.spark, path, "month").select(F.col("month").alias("folder"), back.alias("b")).select("folder", "b.*", F.lit(False).alias("refused"))
+    bad = refused.select(F.lit(None).cast("string").alias("folder"), "o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderpriority"), F.lit(True).alias("refused"))
     return good.unionByName(bad)
 
 
