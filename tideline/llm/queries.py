@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, classifier, fingerprints, html_text, near_dedup, packing, quality_rules, substrings, token_counts, url_filter
+from tideline.llm import alignment, bpe, classifier, fingerprints, html_text, merkle, near_dedup, nearest, packing, quality_rules, substrings, token_counts, url_filter
 from tideline.llm.common import table
 
 
@@ -46,5 +46,17 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_html_text, op4_fingerprints, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL}
+def op11_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest(spark, sf_dir):
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_html_text, op4_fingerprints, op5_near_dedup, op6_quality_classifier, op7_packing, op8_url_filter, op9_token_counts, op10_bpe, op11_alignment, op12_nearest, op13_merkle)}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": url_filter.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
