@@ -174,3 +174,47 @@ def test_quoting(spark):
     t = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("benchmark", "documents")}
     found = quoting(t["benchmark"].select(F.col("item_id").alias("query_id"), "text"), t["documents"].select(F.col("doc_id").alias("chunk_id"), "text"))
     assert found.select("query_id").distinct().count() >= 15
+
+
+def test_admissions_jump_over_the_refused(spark):
+    """Against one event after the other, with users over several batches and limits that change."""
+    rng = random.Random(6)
+    limits = {"a": 2, "b": 5}
+    rows = [(rng.randint(0, 3), i, rng.choice(["a", "a", "b", "free"]), rng.randint(0, 2000)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "user_id int, event_id int, tier string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    held, want = {}, {}
+    for user, event, tier, s in sorted(rows, key=lambda r: (r[3], r[1])):
+        if tier not in limits:
+            want[event] = True
+            continue
+        last = [h for h in held.get(user, []) if h > s - 60]
+        want[event] = len(last) < limits[tier]
+        held[user] = last + [s] * want[event]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {r["event_id"]: r["admitted"] for r in cx.admitted_window(df, 60, limits).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_circular_on_branching_graphs(spark):
+    rng = random.Random(8)
+    for n in (6, 25):
+        links = [(rng.randint(0, n), rng.randint(0, n)) for _ in range(2 * n)] + [(100 + i, 101 + i) for i in range(4)] + [(200 + i, 201 + i) for i in range(6)]
+        asked = [(rng.randint(0, n), rng.randint(0, n)) for _ in range(60)] + [(104, 100), (104, 101), (1, 200), (7, 7), (999, 998), (104, 100)]
+        out = {}
+        for a, b in links:
+            out.setdefault(a, set()).add(b)
+
+        def is_circular(src, dst):
+            at = {dst}
+            for _ in range(5):
+                if src in at:
+                    return True
+                at = {y for x in at for y in out.get(x, ())}
+            return bool(at)
+
+        schema = "src long, dst long"
+        got = pj.circular(spark.createDataFrame(links, schema), spark.createDataFrame(asked, schema)).collect()
+        assert len(got) == len(asked) and all(r["circular"] == is_circular(r["src"], r["dst"]) for r in got)

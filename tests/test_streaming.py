@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import context as cx
-from tideline.streaming import usage as st
+from tideline.streaming import stateful, usage as st
 
 SF = "/root/testdata/sf0.001"
 DAY = {"basic": 2, "pro": 2, "enterprise": 2}
@@ -12,6 +12,7 @@ DAY = {"basic": 2, "pro": 2, "enterprise": 2}
 
 @pytest.fixture(scope="module")
 def stream(spark, tmp_path_factory):
+    stateful.with_rocksdb(spark)
     path = str(tmp_path_factory.mktemp("events"))
     tier = F.when(F.col("user_id") % 3 == 0, "basic").when(F.col("user_id") % 3 == 1, "pro").otherwise("enterprise")
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", tier.alias("tier"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"), F.col("value").alias("latency"))
@@ -31,14 +32,14 @@ def drained(df, name, tmp_path):
 
 def test_rate_limit(stream, tmp_path):
     events, source = stream
-    got = drained(st.rate_limited(source, 86400, DAY, "30 days"), "rate", tmp_path)
+    got = drained(stateful.rate_limited(source, 86400, DAY, "30 days"), "rate", tmp_path).drop("late")
     want = cx.admitted_window(events, 86400, DAY).select("user_id", "event_id", "admitted")
     assert sorted(got.collect()) == sorted(want.collect())
 
 
 def test_daily_quota(stream, tmp_path):
     events, source = stream
-    got = drained(st.daily_quota(source, {"basic": 1, "pro": 2}, "30 days"), "quota", tmp_path)
+    got = drained(stateful.daily_quota(source, {"basic": 1, "pro": 2}, "30 days"), "quota", tmp_path).drop("late")
     want = cx.admitted_daily(events, {"basic": 1, "pro": 2}).select("user_id", "event_id", "admitted")
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -50,12 +51,35 @@ def test_metrics(stream, tmp_path):
     assert got and set(got) <= set(want)
 
 
-def test_upsert(spark, tmp_path):
-    chunks = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int")
-    chunks.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in"))
-    st.upsert_stream(source, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
-    spark.createDataFrame([("b", 3), ("c", 4)], chunks.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    st.upsert_stream(source, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
-    rows = spark.read.parquet(str(tmp_path / "out" / "v1")).select("chunk_id", "v").collect()
-    assert sorted((r["chunk_id"], r["v"]) for r in rows) == [("a", 1), ("b", 3), ("c", 4)]
+def test_window_counts(stream, tmp_path):
+    events, source = stream
+    got = drained(stateful.window_counts(source, 86400, "30 days"), "counts", tmp_path).drop("late")
+    want = cx.window_usage(events, 86400).select("user_id", "event_id", "n_window")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_late_rows_are_counted_and_state_goes(spark, tmp_path):
+    """A file of each load: the second advances the clock by days, the third and the last bring a row from before.
+
+    Aggregates take a row as late one micro-batch later than the operators with keyed state."""
+    stateful.with_rocksdb(spark)
+    schema = "event_id long, user_id long, tier string, ts timestamp"
+    files = [[(1, 1, "basic", "2024-01-01 00:00:00"), (2, 1, "basic", "2024-01-01 00:00:10")], [(3, 2, "basic", "2024-01-05 00:00:00")], [(4, 1, "basic", "2024-01-01 00:00:20"), (5, 1, "basic", "2024-01-06 00:00:00")], [(6, 3, "basic", "2024-01-09 00:00:00")], [(7, 1, "basic", "2024-01-01 00:00:30")]]
+    for rows in files:
+        spark.createDataFrame([(*r[:3], r[3]) for r in rows], "event_id long, user_id long, tier string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for f, values in ((lambda s: stateful.window_counts(s, 3 * 86400, "1 hour"), [1, 2, 1, None, 1, 1, None]), (lambda s: stateful.rate_limited(s, 3 * 86400, {"basic": 1}, "1 hour"), [True, False, True, None, True, True, None]), (lambda s: stateful.daily_quota(s, {"basic": 1}, "1 hour"), [True, False, True, None, True, True, None])):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        got, _ = stateful.drained(f(source), path)
+        assert [(r[1], r[2], r[3]) for r in got.orderBy("event_id").collect()] == [(i + 1, v is None, v) for i, v in enumerate(values)]
+        again, _ = stateful.drained(f(source), path)
+        assert again.count() == 7
+    _, late = stateful.drained(st.tumbling_metrics(source.withColumns({"mode": F.lit("m"), "latency": F.lit(1.0)}), "1 hour", "1 hour"), str(tmp_path / "metrics"))
+    assert late == 1
+
+
+def test_sessions(stream, spark, tmp_path):
+    events, source = stream
+    got = drained(stateful.sessions(source, "12 hours", "1 minute"), "sessions", tmp_path).collect()
+    whole = events.groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n").collect()
+    assert got and {*map(tuple, got)} <= {*map(tuple, whole)}

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,29 +157,47 @@ def admitted_daily(events: DataFrame, limits: dict = DAILY) -> DataFrame:
     return events.withColumn("admitted", limit.isNull() | (F.row_number().over(w) <= limit))
 
 
+def admissions(us: np.ndarray, held: np.ndarray, limit: int, span: int) -> np.ndarray:
+    """Which of the ascending times are admitted, after those held: fewer than limit were in the span before."""
+    if limit <= 0:
+        return np.zeros(0, np.int64)
+    times, taken, i = [*held[-limit:].tolist()], [], 0
+    while i < us.size:
+        if len(times) >= limit:  # the next is the first after the limit-th last admitted leaves the window
+            i = max(i, int(np.searchsorted(us, times[-limit] + span)))
+            if i >= us.size:
+                break
+        taken.append(i)
+        times.append(int(us[i]))
+        i += 1
+    return np.array(taken, np.int64)
+
+
 def admitted_window(events: DataFrame, seconds: int = 60, limits: dict = PER_WINDOW) -> DataFrame:
     """user_id, event_id, admitted: fewer than the limit were admitted in the last ``seconds``; the refused don't count.
 
-    Users are dealt out, and their events go by in order of time: what is held of a user is the times of the admitted in the
-    window, at most the limit, however many events there are. Users without a limit (none for their tier) are all admitted.
+    Users are dealt out, and their events go by in order of time: what is held of a user is the last admitted times, at most
+    the limit, however many events there are; work follows the admitted, as the refused between two of them are jumped over. Users without a limit (none for their tier) are all admitted.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.select("user_id", us.alias("us"), "event_id", limit_of(F.col("tier"), limits).alias("limit"))
     free, bound = rows.filter("limit is null"), rows.filter("limit is not null")
     user, event = (rows.schema[c].dataType.simpleString() for c in ("user_id", "event_id"))
 
+    most = max([*limits.values(), 1])
+
     def run(batches):
-        last, held = None, deque()
+        last, held = None, np.zeros(0, np.int64)
         for batch in batches:
-            out = []
-            for who, at, limit in zip(batch["user_id"], batch["us"].to_numpy(), batch["limit"].to_numpy(), strict=True):
-                if who != last:
-                    last, held = who, deque()
-                while held and held[0] <= at - seconds * 1_000_000:
-                    held.popleft()
-                out.append(len(held) < limit)
-                if out[-1]:
-                    held.append(at)
+            us, limit, who = batch["us"].to_numpy(), batch["limit"].to_numpy(), batch["user_id"]
+            new = (who != who.shift()).to_numpy() | np.append(True, np.diff(limit) != 0) if len(batch) else np.zeros(0, bool)
+            cuts, out = [*np.flatnonzero(new), len(batch)], np.zeros(len(batch), bool)
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if who.iloc[lo] != last:
+                    last, held = who.iloc[lo], np.zeros(0, np.int64)
+                taken = admissions(us[lo:hi], held, int(limit[lo]), seconds * 1_000_000)
+                out[lo + taken] = True
+                held = np.concatenate([held, us[lo + taken]])[-most:]
             yield batch[["user_id", "event_id"]].assign(admitted=out)
 
     ordered = bound.repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
@@ -196,8 +213,16 @@ def window_usage(events: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def query_metrics(log: DataFrame) -> DataFrame:
-    """mode, n, avg_latency: one row per mode and one (null) for all."""
-    return log.rollup("mode").agg(F.count("*").alias("n"), F.round(F.avg("latency"), 1).alias("avg_latency"))
+    """mode, n, avg_latency: one row per mode and one (null) for all, which is there for an empty log too, with 0."""
+    modes = log.groupBy("mode").agg(F.count("*").alias("n"), F.sum("latency").alias("spent"), F.count("latency").alias("known"))
+    total = modes.agg(F.lit(None).cast(log.schema["mode"].dataType).alias("mode"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("spent").alias("spent"), F.sum("known").alias("known"))
+    return modes.unionByName(total).select("mode", "n", F.round(F.col("spent") / F.nullif("known", F.lit(0)), 1).alias("avg_latency"))
+
+
+def log_rows(queries: DataFrame, preview: int = 100) -> DataFrame:
+    """One JSON line for each query (user_id, query, mode, latency, tokens): latency to one digit, the query's first characters."""
+    row = F.struct(F.lit("query").alias("event"), "user_id", "mode", F.bround("latency", 1).alias("latency_ms"), F.col("tokens").alias("token_count"), F.substring("query", 1, preview).alias("query_preview"))
+    return queries.select("user_id", F.to_json(row).alias("line"))
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -67,8 +67,11 @@ def ship_types(text: Column, words: dict[str, str] = lx.SHIP_TYPES) -> Column:
 
 
 def ship_spans(text: Column, words: dict[str, str] = lx.SHIP_TYPES) -> Column:
-    at = lambda w: F.instr(F.lower(text), w)
-    return F.array_compact(F.array(*(F.when(at(w) > 0, F.struct((at(w) - 1).alias("s"), (at(w) - 1 + len(w)).alias("e"), F.lit(name).alias("m"))) for w, name in words.items())))
+    """First spans of the words in the lower-cased text, which is made once (bound as the element of an array)."""
+    known = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(name).alias("m")) for w, name in words.items()))
+    spans_of = lambda d, at: F.struct((at - 1).alias("s"), (at - 1 + F.length(d["w"])).alias("e"), d["m"].alias("m"))
+    there = lambda low: F.filter(F.transform(known, lambda d: spans_of(d, F.instr(low, d["w"]))), lambda x: x["s"] >= 0)
+    return F.flatten(F.transform(F.array(F.lower(text)), there))
 
 
 def not_negated(text: Column, found: Column, patterns=lx.NEGATIONS) -> Column:
@@ -128,24 +131,81 @@ def merge_relations(rows: DataFrame) -> DataFrame:
 
 
 def disambiguated(name: Column, kind: Column, society: Column, kinds: tuple[str, ...] = ("regulation_clause", "equipment")) -> Column:
-    return F.when(kind.isin(*kinds) & society.isNotNull(), F.concat_ws("-", society, name)).otherwise(name)
+    return F.when(kind.isin(*kinds) & society.isNotNull() & (society != ""), F.concat_ws("-", society, name)).otherwise(name)
 
 
-def parse_entities(outputs: DataFrame) -> DataFrame:
-    """output_id, entity_id, name, etype, confidence from raw model outputs: JSON, else the first {...} in prose, else nothing.
+def with_original(properties: Column, name: Column, kind: Column, society: Column, kinds: tuple[str, ...] = ("regulation_clause", "equipment")) -> Column:
+    """map<string,string> of an entity: where disambiguated() changes the name, original_name holds what it was."""
+    kept = F.map_filter(F.coalesce(properties, F.create_map().cast("map<string,string>")), lambda k, _: k != "original_name")
+    changed = kind.isin(*kinds) & society.isNotNull() & (society != "")
+    return F.when(changed, F.map_concat(kept, F.create_map(F.lit("original_name"), name))).otherwise(F.coalesce(properties, F.create_map().cast("map<string,string>")))
+
+
+def first_object(text: Column) -> Column:
+    """The text from the first { to the } that balances it; braces within strings don't count, nor quotes after a backslash in
+    one. Null if there is none. A fold over runs of plain characters and single signs, not over characters."""
+    tail = F.nullif(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(""))
+    signs = F.regexp_extract_all(tail, F.lit(r'(?s)["{}\\]|[^"{}\\]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(a, x):
+        plain = a["escaped"] | (a["end"] > 0)
+        quote = ~plain & (x == '"')
+        brace = ~plain & ~a["quoted"]
+        depth = a["depth"] + F.when(brace & (x == "{"), 1).when(brace & (x == "}"), -1).otherwise(0)
+        at = a["at"] + F.length(x)
+        return F.struct(
+            depth.alias("depth"), F.when(quote, ~a["quoted"]).otherwise(a["quoted"]).alias("quoted"), (~a["escaped"] & a["quoted"] & (x == "\\")).alias("escaped"),
+            at.alias("at"), F.when((a["end"] == 0) & brace & (x == "}") & (depth == 0), at).otherwise(a["end"]).alias("end"),
+        )
+
+    return F.aggregate(signs, start, step, lambda a: F.when(a["end"] > 0, F.substring(tail, F.lit(1), a["end"])))
 
-    A missing type is 'unknown', a missing id the hash; of an id the first stays.
+
+def parsed_outputs(outputs: DataFrame) -> DataFrame:
+    """output_id, entities, relations (arrays) of raw model outputs (output_id, raw).
+
+    The whole text as JSON, else its first balanced object, else nothing. What isn't a list of objects is left out. A missing
+    name is '', a missing type 'unknown' or 'references', a missing id the hash of name and type, properties that aren't an
+    object '{}'. Relations between ids that the same output doesn't name are dropped.
     """
-    schema = "entities array<struct<id:string,name:string,type:string>>"
-    inner = F.nullif(F.regexp_extract("raw", r"(?s)\{.*\}", 0), F.lit(""))
-    parsed = outputs.select("output_id", F.coalesce(F.from_json(F.when(F.trim("raw").startswith("{"), F.col("raw")), schema)["entities"], F.from_json(inner, schema)["entities"]).alias("e"))
-    rows = parsed.select("output_id", F.posexplode("e").alias("n", "x")).filter("x.name is not null")
-    kind = F.coalesce("x.type", F.lit("unknown"))
-    rows = rows.select("output_id", "n", F.coalesce("x.id", entity_id(F.col("x.name"), kind)).alias("entity_id"), F.col("x.name").alias("name"), kind.alias("etype"), F.lit(0.9).alias("confidence"))
+    value = F.coalesce(F.try_parse_json(F.trim("raw")), F.try_parse_json(first_object(F.col("raw"))))
+    text = lambda x, path: F.try_variant_get(x, path, "string")
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+
+    def properties(x):
+        p = F.try_variant_get(x, "$.properties", "variant")
+        return F.when(is_object(p), F.to_json(p)).otherwise(F.lit("{}"))
+
+    def entity(x):
+        name, kind = F.coalesce(text(x, "$.name"), F.lit("")), F.coalesce(text(x, "$.type"), F.lit("unknown"))
+        given = F.nullif(text(x, "$.id"), F.lit(""))
+        return F.struct(F.coalesce(given, entity_id(name, kind)).alias("entity_id"), name.alias("name"), kind.alias("etype"), properties(x).alias("properties"))
+
+    def relation(x):
+        src, dst, kind = F.coalesce(text(x, "$.source"), F.lit("")), F.coalesce(text(x, "$.target"), F.lit("")), F.coalesce(text(x, "$.type"), F.lit("references"))
+        return F.struct(relation_id(src, dst, kind).alias("relation_id"), src.alias("src"), dst.alias("dst"), kind.alias("rtype"), properties(x).alias("properties"))
+
+    listed = lambda name: F.filter(F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")), is_object)
+    rows = outputs.select("output_id", value.alias("v")).select("output_id", F.transform(listed("entities"), entity).alias("entities"), F.transform(listed("relations"), relation).alias("relations"))
+    ids = F.transform("entities", lambda e: e["entity_id"])
+    return rows.withColumn("relations", F.filter("relations", lambda r: F.array_contains(ids, r["src"]) & F.array_contains(ids, r["dst"])))
+
+
+def parse_entities(outputs: DataFrame) -> DataFrame:
+    """output_id, entity_id, name, etype, properties, confidence of raw model outputs; of an id the first stays."""
+    rows = parsed_outputs(outputs).select("output_id", F.posexplode("entities").alias("n", "x")).select("output_id", "n", "x.*", F.lit(0.9).alias("confidence"))
     w = Window.partitionBy("entity_id").orderBy("output_id", "n")
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "n")
 
 
+def parse_relations(outputs: DataFrame) -> DataFrame:
+    """output_id, relation_id, src, dst, rtype, properties, confidence of raw model outputs; of an id the first stays."""
+    rows = parsed_outputs(outputs).select("output_id", F.posexplode("relations").alias("n", "x")).select("output_id", "n", "x.*", F.lit(0.9).alias("confidence"))
+    w = Window.partitionBy("relation_id").orderBy("output_id", "n")
+    return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "n")
+
+
 def without_dangling(relations: DataFrame, entities: DataFrame) -> DataFrame:
     ids = entities.select("entity_id").distinct()
     return relations.join(ids.select(F.col("entity_id").alias("src")), "src", "left_semi").join(ids.select(F.col("entity_id").alias("dst")), "dst", "left_semi")

@@ -54,23 +54,32 @@ def compliance_from_citations(clauses: DataFrame, cited: DataFrame) -> DataFrame
     }).drop("new")
 
 
-def rolled_back(clauses: DataFrame, deleted: list[str]) -> DataFrame:
-    """clauses after conclusions are deleted: those left without any go back to unverified, unless settled."""
-    left = F.array_except("conclusions", F.array(*map(F.lit, deleted)))
+def rolled_back(clauses: DataFrame, deleted: list[str] | DataFrame) -> DataFrame:
+    """clauses after conclusions are deleted (ids, or a DataFrame of conclusion_id): those left without any go back to
+    unverified, unless settled."""
+    if isinstance(deleted, list):
+        left, held = F.array_except("conclusions", F.array(*map(F.lit, deleted))), clauses
+    else:
+        gone = clauses.select("clause_id", F.explode("conclusions").alias("conclusion_id")).join(deleted.select("conclusion_id").distinct(), "conclusion_id")
+        held = clauses.join(gone.groupBy("clause_id").agg(F.collect_set("conclusion_id").alias("gone")), "clause_id", "left")
+        left = F.coalesce(F.array_except("conclusions", "gone"), F.col("conclusions"))
     lost = (F.size(left) == 0) & (F.size("conclusions") > 0) & ~F.col("status").isin("verified", "not_applicable")
-    return clauses.withColumn("status", F.when(lost, "unverified").otherwise(F.col("status"))).withColumn("conclusions", left)
+    return held.withColumn("status", F.when(lost, "unverified").otherwise(F.col("status"))).withColumn("conclusions", left).select(*clauses.columns)
 
 
 def document_search(docs: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return docs.filter((F.col("status") == "done") & F.contains(F.lower("text"), F.lit(text.lower()))).orderBy("doc_id").limit(limit)
 
 
-def scoped_search(queries: DataFrame, own: DataFrame, shared: DataFrame, base: float = 0.70, bonus: float = 0.10, cap: float = 0.95, enough: int = 5, good: float = 0.7) -> DataFrame:
+def scoped_search(queries: DataFrame, own: DataFrame, shared: DataFrame, base: float = 0.70, bonus: float = 0.10, cap: float = 0.95, enough: int = 5, good: float = 0.7, few: int = 10_000) -> DataFrame:
     """query_id, doc_id, score, source: own hits at 0.70 (more if the first 500 characters name a regulation of the query),
     and global ones at 0.5 + 0.4 * score for queries with fewer than five good own hits.
 
-    queries: (query_id, regulations); own: (query_id, doc_id, text); shared: (query_id, doc_id, score).
+    queries: (query_id, regulations); own: (query_id, doc_id, text); shared: (query_id, doc_id, score). Up to ``few`` queries are
+    sent to where the own documents lie, so a project that holds most of them isn't gathered; more are joined by query_id.
     """
+    if len(queries.select("query_id").head(few + 1)) <= few:
+        queries = F.broadcast(queries)
     named = F.exists("regulations", lambda r: F.contains(F.substring("text", 1, 500), r))
     mine = own.join(queries, "query_id").select("query_id", "doc_id", F.least(F.lit(cap), F.when(named, base + bonus).otherwise(base)).alias("score"), F.lit("project").alias("source"))
     full = mine.filter(F.col("score") > good).groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
@@ -90,17 +99,30 @@ def case_score(name: Column, description: Column, vessel: Column, society: Colum
 def circular(links: DataFrame, proposed: DataFrame, depth: int = 5) -> DataFrame:
     """proposed (src, dst) with circular: whether a walk from dst along links meets src, or is still going after ``depth`` steps.
 
-    One join a step for all proposals at once.
+    Whether a walk can go on that long is known of dst alone, by as many semi-joins back from the links' ends. Of the others
+    walks meet in the middle: what dst reaches in the first steps, once for each dst, and what reaches src in the last.
     """
     from tideline.operators.graph import cut
 
-    walk = proposed.select("src", "dst", F.col("dst").alias("at")).distinct()
-    edges = links.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
-    found = walk.filter("at = src").select("src", "dst")
-    for _ in range(depth):
-        walk = cut(walk.filter("at <> src").join(edges, "at").select("src", "dst", F.col("to").alias("at")).distinct())
-        found = found.union(walk.filter("at = src").select("src", "dst"))
-    found = found.union(walk.select("src", "dst")).distinct().withColumn("hit", F.lit(True))
+    edges = cut(links.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
+    deep = edges.select("at").distinct()
+    for _ in range(depth - 1):
+        deep = cut(edges.join(deep.withColumnRenamed("at", "to"), "to", "left_semi").select("at").distinct())
+    pairs = proposed.select("src", "dst").distinct()
+    open_ = cut(pairs.join(deep.withColumnRenamed("at", "dst"), "dst", "left_anti"))
+
+    def reached(start: str, here: str, there: str, steps: int) -> DataFrame:
+        last = open_.select(start, F.col(start).alias("met")).distinct()
+        found = last
+        for _ in range(steps):
+            last = cut(last.join(edges.select(F.col(here).alias("met"), F.col(there).alias("next")), "met").select(start, F.col("next").alias("met")).distinct())
+            found = found.union(last)
+        return found.distinct()
+
+    back = depth // 2
+    ahead, behind = reached("dst", "at", "to", depth - back), reached("src", "to", "at", back)
+    meet = open_.join(ahead, "dst").join(behind, ["src", "met"]).select("src", "dst").distinct()
+    found = pairs.join(deep.withColumnRenamed("at", "dst"), "dst", "left_semi").select("src", "dst").union(meet).withColumn("hit", F.lit(True))
     return proposed.join(found, ["src", "dst"], "left").withColumn("circular", F.coalesce("hit", F.lit(False))).drop("hit")
 
 

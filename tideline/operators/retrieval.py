@@ -6,7 +6,9 @@ Hits are rows (query_id, chunk_id, score, rank). Ties in score go to the lower c
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,13 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "cosine", where: Column | None = None, blocks: int = 8, parts: int = 32, post_filter: bool = False) -> DataFrame:
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "cosine", where: Column | None = None, block: int = 1000, parts: int = 32, post_filter: bool = False) -> DataFrame:
     """Exact nearest chunks of every query (query_id, vector) among (chunk_id, vector), filter first (or last, if told so).
 
-    Queries are dealt to blocks and chunks to parts, and every part meets each block once: a task holds a part of the chunks
-    and one block of the queries; only k rows of a query leave a part, before the ranks of all parts meet.
+    Queries are dealt to blocks of about ``block`` and chunks to parts, and every part meets each block once: a task holds a part
+    of the chunks and one block of the queries; only k rows of a query leave a part, before the ranks of all parts meet.
     """
+    blocks = max(1, -(-queries.count() // block))
     candidates = chunks if where is None or post_filter else chunks.filter(where)
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("queries"))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
@@ -113,6 +116,21 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 20, sc
     return ranked(both.select("query_id", "chunk_id", scorer(F.col("q"), F.col("d")).alias("score")), k)
 
 
+def batch_scorer(load):
+    """A scorer for rerank() from load(), which gives a function of (queries, texts), two pandas series, to scores.
+
+    load() runs once a task, in the worker, so a model's weights are read there and not sent with the plan; the function gets
+    whole Arrow batches. Null texts and queries come as ''.
+    """
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for queries, texts in batches:
+            yield pd.Series(model(queries.fillna(""), texts.fillna("")), dtype="float64")
+
+    return F.pandas_udf(score, "double")
+
+
 def adjacent_dedup(rows: DataFrame, by: str, order: str, threshold: float = 0.85) -> DataFrame:
     """(by, order) of the rows kept: in order, a text is dropped if its words are too like those of the last one kept.
 

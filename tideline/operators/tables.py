@@ -112,6 +112,39 @@ def chunks(docs: DataFrame, max_tokens: int = 512, merge_peers: bool = True, rep
     return docs.select("doc_id", F.posexplode(packed).alias("position", "text")).withColumn("n_tokens", tokens(F.col("text")))
 
 
+def sections(docs: DataFrame, levels: int = 6, heading: str = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$") -> DataFrame:
+    """doc_id, run_no, path (titles from the highest heading down), text: the lines below each heading of a document.
+
+    A heading ends those of its own and lower rank. Neighbouring sections of one path are one run; a section without text has
+    no row; lines before the first heading have the path []. heading: groups 1 (as many signs as its rank) and 2 (title).
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rank = F.length(F.regexp_extract("line", heading, 1))
+    lines = lines.withColumn("rank", rank).withColumn("title", F.when(rank > 0, F.regexp_extract("line", heading, 2)))
+    so_far = Window.partitionBy("doc_id").orderBy("line_no")
+    last = {k: F.max(F.when(F.col("rank") == k, F.col("line_no"))).over(so_far) for k in range(1, levels + 1)}
+    title = {k: F.last(F.when(F.col("rank") == k, F.col("title")), ignorenulls=True).over(so_far) for k in last}
+    lines = lines.withColumns({f"at{k}": last[k] for k in last} | {f"title{k}": title[k] for k in last})
+    # A title holds as long as no heading of a higher rank came after it.
+    open_ = lambda k: F.col(f"at{k}") > F.coalesce(F.greatest(*(F.col(f"at{j}") for j in range(1, k)), F.lit(-1)), F.lit(-1)) if k > 1 else F.col("at1").isNotNull()
+    path = F.array_compact(F.array(*(F.when(open_(k), F.col(f"title{k}")) for k in last)))
+    text = lines.withColumn("path", path).filter((F.col("rank") == 0) & (F.trim("line") != "")).select("doc_id", "line_no", "line", "path")
+    new = F.coalesce(F.col("path") != F.lag("path").over(so_far), F.lit(True))
+    text = text.withColumn("run_no", F.sum(new.cast("int")).over(so_far))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return text.groupBy("doc_id", "run_no").agg(F.first("path").alias("path"), joined.alias("text"))
+
+
+def section_chunks(docs: DataFrame, max_tokens: int = 512, merge_peers: bool = True, repeat_table_header: bool = True) -> DataFrame:
+    """doc_id, position, path, text, n_tokens: chunks() of every section run, so none goes over a heading; small neighbours of one
+    path are packed together. The windows and folds are sequential in a document, which has to fit a task."""
+    found = sections(docs)
+    pieces = chunks(found.select(F.struct("doc_id", "run_no", "path").alias("doc_id"), "text"), max_tokens, merge_peers, repeat_table_header)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("run_no", "in_run")) - 1
+    flat = pieces.select("doc_id.doc_id", "doc_id.run_no", "doc_id.path", F.col("position").alias("in_run"), "text", "n_tokens")
+    return flat.withColumn("position", place).select("doc_id", "position", "path", "text", "n_tokens")
+
+
 def token_batches(rows: DataFrame, by: str, order: str, cost: str, budget: int = 6000, most: int = 200) -> DataFrame:
     """by, batch_no, n_rows, n_tokens: rows taken in order into batches within the budget and the number of rows.
 

@@ -178,7 +178,7 @@ def g3_decomposition(t):
     return rs.decomposed(t.questions)
 
 
-_EV = "SELECT source AS query_id, concat('c', CAST(doc_id % 50 AS STRING)) AS chunk_id, CAST(doc_id % 4 AS INT) AS source_no, doc_id AS rank FROM {documents}"
+_EV = "SELECT source AS query_id, concat('c', CAST(doc_id AS STRING)) AS chunk_id, CAST(doc_id % 4 AS INT) AS source_no, doc_id AS rank FROM {documents} UNION ALL SELECT source, concat('c', CAST(doc_id AS STRING)), 1, doc_id FROM {documents} WHERE doc_id % 3 = 0"
 
 
 @query("SELECT query_id, chunk_id, source_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY source_no, rank) AS r FROM ev) WHERE r = 1", ev=_EV.replace("{documents}", "documents"))
@@ -220,9 +220,10 @@ def g8_requirements(t):
     return _values(t)
 
 
-@query("SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'thickness' ELSE 'speed' END AS param FROM benchmark")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 0 THEN 'thickness' WHEN 1 THEN 'speed' ELSE lower(trim(l_shipmode)) END AS param FROM lineitem")
 def g9_normalised(t):
-    return t.benchmark.select(rs.normalised(F.when(F.col("item_id") % 2 == 0, "板厚").otherwise("Speed")).alias("param")).distinct()
+    name = F.when(F.col("l_partkey") % 3 == 0, "板厚").when(F.col("l_partkey") % 3 == 1, " Speed ").otherwise(F.col("l_shipmode"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", rs.normalised(name).alias("param"))
 
 
 _CON = "SELECT *, CASE WHEN difference_pct >= 10 THEN 'warning' ELSE 'info' END AS severity FROM (SELECT a.param, a.society AS society_a, a.value AS value_a, b.society AS society_b, b.value AS value_b, round_even(abs(a.value - b.value) / greatest(a.value, b.value) * 100, 1) AS difference_pct FROM req a JOIN req b ON a.param = b.param AND a.society < b.society AND abs(a.value - b.value) >= 0.001)"

@@ -114,6 +114,13 @@ def e13_disambiguation(t):
     return j.select("doc_id", "entity_id", gr.disambiguated(F.col("name"), F.col("etype"), F.col("society")).alias("name"))
 
 
+@query("SELECT e.doc_id, entity_id, CASE WHEN etype IN ('regulation_clause', 'equipment') THEN name END AS original, 'rules' AS origin FROM ent e JOIN corpus c ON c.doc_id = e.doc_id", **_ALL)
+def e13_original_names(t):
+    j = gr.extract_entities(t.corpus).join(t.corpus.select("doc_id", "society"), "doc_id")
+    held = gr.with_original(F.create_map(F.lit("origin"), F.lit("rules")), F.col("name"), F.col("etype"), F.col("society"))
+    return j.select("doc_id", "entity_id", held["original_name"].alias("original"), held["origin"].alias("origin"))
+
+
 _RAW = "SELECT event_id AS output_id, user_id, CASE event_id % 3 WHEN 0 THEN concat('{\"entities\":[{\"name\":\"u', CAST(user_id AS STRING), '\",\"type\":\"user\"}]}') WHEN 1 THEN concat('Here: {\"entities\":[{\"id\":\"e', CAST(user_id AS STRING), '\",\"name\":\"', event_type, '\"}]} done') ELSE 'nothing' END AS raw FROM {events}"
 
 
@@ -121,7 +128,32 @@ _RAW = "SELECT event_id AS output_id, user_id, CASE event_id % 3 WHEN 0 THEN con
 SELECT event_id AS output_id, md5(concat('u', user_id, ':user')) AS entity_id, concat('u', user_id) AS name, 'user' AS etype FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, concat('e', user_id), event_type, 'unknown' FROM events WHERE event_id % 3 = 1)) WHERE r = 1""")
 def e14_model_outputs(t):
     raw = F.when(F.col("event_id") % 3 == 0, F.format_string('{"entities":[{"name":"u%d","type":"user"}]}', "user_id")).when(F.col("event_id") % 3 == 1, F.format_string('Here: {"entities":[{"id":"e%d","name":"%s"}]} done', "user_id", "event_type")).otherwise("nothing")
-    return gr.parse_entities(t.events.select(F.col("event_id").alias("output_id"), raw.alias("raw")))
+    return gr.parse_entities(t.events.select(F.col("event_id").alias("output_id"), raw.alias("raw"))).drop("properties")
+
+
+def _outputs(t):
+    """Outputs with prose, fences, braces and quotes in strings, dangling relations and cut-off objects."""
+    uid, kind = F.col("user_id").cast("string"), F.col("event_type")
+    body = F.concat(
+        F.lit('{"entities":[{"id":"u'), uid, F.lit('","name":"user } \\" {","type":"user","properties":{"a":{"b":'), uid, F.lit('}}},{"name":"'), kind,
+        F.lit('","type":"act"}],"relations":[{"source":"u'), uid, F.lit('","target":"u'), uid, F.lit('","type":"is"},{"source":"u'), uid, F.lit('","target":"gone"}]}'),
+    )
+    m = F.col("event_id") % 4
+    raw = F.when(m == 0, body).when(m == 1, F.concat(F.lit("Result: "), body, F.lit(" and {more}"))).when(m == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.lit('{"entities":['))
+    return t.events.select(F.col("event_id").alias("output_id"), raw.alias("raw"))
+
+
+@query("""SELECT output_id, entity_id, name, etype, properties FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY output_id) AS r FROM (
+SELECT event_id AS output_id, concat('u', user_id) AS entity_id, 'user } " {' AS name, 'user' AS etype, concat('{"a":{"b":', user_id, '}}') AS properties FROM events WHERE event_id % 4 <> 3
+UNION ALL SELECT event_id, md5(concat(event_type, ':act')), event_type, 'act', '{}' FROM events WHERE event_id % 4 <> 3)) WHERE r = 1""")
+def e14_output_entities(t):
+    return gr.parse_entities(_outputs(t)).drop("confidence")
+
+
+@query("""SELECT min(event_id) AS output_id, md5(concat('u', user_id, ':u', user_id, ':is')) AS relation_id, concat('u', user_id) AS src, concat('u', user_id) AS dst, 'is' AS rtype, 0.9::DOUBLE AS confidence
+FROM events WHERE event_id % 4 <> 3 GROUP BY user_id""")
+def e14_output_relations(t):
+    return gr.parse_relations(_outputs(t)).drop("properties")
 
 
 @query("SELECT src, dst, rtype FROM edges WHERE src IN (SELECT entity_id FROM nodes WHERE etype <> 'region') AND dst IN (SELECT entity_id FROM nodes WHERE etype <> 'region')")
@@ -166,9 +198,9 @@ def e18_delete_edges(t):
     return gr.delete_document(_stored(t), t.sql(GRAPH_EDGES), 2)[1].select("src", "dst", "rtype")
 
 
-@query("SELECT entity_id, name, etype FROM (SELECT * FROM nodes WHERE contains(name, '00') ORDER BY entity_id LIMIT 200) WHERE etype = 'supplier'")
+@query("SELECT entity_id, name, etype FROM (SELECT * FROM nodes WHERE contains(name, '0') ORDER BY entity_id LIMIT 200) WHERE etype <> 'region'")
 def e19_lookup(t):
-    return gr.lookup(t.sql(GRAPH_NODES), "00", ["supplier"], 200)
+    return gr.lookup(t.sql(GRAPH_NODES), "0", ["part", "supplier", "customer", "nation"], 200)
 
 
 @query("SELECT entity_id, name, etype FROM st WHERE society = '1' AND entity_id IN (SELECT dst FROM edges WHERE rtype <> 'part_of') AND etype IN ('supplier', 'nation')", **_ST)
@@ -196,20 +228,21 @@ def e22_topic_graph(t):
     return gr.topic_graph(t.sql(GRAPH_NODES), t.sql(GRAPH_EDGES), "NATION_1", 2, 1000)[1].select("src", "dst", "rtype")
 
 
-_MAPS = "SELECT e.src, e.dst, e.rtype, CAST(((CAST(substr(e.src, 2) AS INTEGER) * 7) % 10) AS DOUBLE) / 10.0 AS confidence FROM {edges} e WHERE e.rtype = 'similar_to'"
+# A part is like the next one; every fiftieth is asked for twice.
+_MAPS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS src, concat('p', CAST(p_partkey + 1 AS STRING)) AS dst, 'similar_to' AS rtype, CAST((p_partkey * 7) % 10 AS DOUBLE) / 10.0 AS confidence FROM {part}"
 
 
 def _mapped(t):
-    edges = t.sql(_MAPS, edges=t.sql(GRAPH_EDGES))
-    clauses = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 5).cast("string").alias("society"))
-    asked = t.nation.select(F.lower("n_name").alias("clause"), (F.col("n_nationkey") % 5).cast("string").alias("society"), ((F.col("n_nationkey") + 1) % 5).cast("string").alias("target"))
+    edges = t.sql(_MAPS)
+    clauses = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5).cast("string").alias("society"))
+    asked = t.part.filter("p_partkey % 50 in (3, 7)").select(F.lower("p_name").alias("clause"), (F.col("p_partkey") % 5).cast("string").alias("society"), ((F.col("p_partkey") + 1) % 5).cast("string").alias("target"))
     return edges, gr.cross_references(clauses, edges, asked)
 
 
 _XR = {
-    "mp": _MAPS.replace("{edges}", "edges").replace("/ 10.0", "/ 10.0::DOUBLE"), "cls": "SELECT concat('n', n_nationkey) AS entity_id, n_name AS name, CAST(n_nationkey % 5 AS VARCHAR) AS society FROM nation",
-    "asked": "SELECT lower(n_name) AS clause, CAST(n_nationkey % 5 AS VARCHAR) AS society, CAST((n_nationkey + 1) % 5 AS VARCHAR) AS target FROM nation",
-    "xr": "SELECT clause, society, target, src, dst, found, confidence FROM (SELECT a.*, m.src, m.dst, d.name AS found, m.confidence, row_number() OVER (PARTITION BY a.clause, a.society, a.target ORDER BY m.confidence DESC, m.src, m.dst) AS r FROM asked a JOIN cls s ON s.society = a.society AND contains(lower(s.name), a.clause) JOIN mp m ON m.src = s.entity_id JOIN cls d ON d.entity_id = m.dst AND d.society = a.target) WHERE r = 1 AND confidence > 0.8",
+    "mp": _MAPS.replace("{part}", "part").replace("/ 10.0", "/ 10.0::DOUBLE"), "cls": "SELECT concat('p', p_partkey) AS entity_id, p_name AS name, CAST(p_partkey % 5 AS VARCHAR) AS society FROM part",
+    "asked": "SELECT lower(p_name) AS clause, CAST(p_partkey % 5 AS VARCHAR) AS society, CAST((p_partkey + 1) % 5 AS VARCHAR) AS target FROM part WHERE p_partkey % 50 IN (3, 7)",
+    "xr": "SELECT clause, society, target, src, dst, found, confidence FROM (SELECT a.*, m.src, m.dst, d.name AS found, m.confidence, row_number() OVER (PARTITION BY a.clause, a.society, a.target ORDER BY m.confidence DESC, m.src, m.dst) AS r FROM (SELECT DISTINCT * FROM asked) a JOIN cls s ON s.society = a.society AND contains(lower(s.name), a.clause) JOIN mp m ON m.src = s.entity_id JOIN cls d ON d.entity_id = m.dst AND d.society = a.target) WHERE r = 1 AND confidence > 0.8",
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import lexicon as lx
 from tideline.operators import projects as pj
 from tideline.plans.registry import query
+from tideline.plans.stored_queries import ALL, BM25_VIEWS, BM25_WORDS, stored_index
 
 
 def _projects(t):
@@ -34,15 +35,15 @@ def h2_issues(t):
     return pj.issues(rows, "o_orderdate", 50).select("issue_id", "priority")
 
 
-_VESSEL = "CASE n_nationkey % 3 WHEN 0 THEN 'tanker' WHEN 1 THEN 'container' ELSE 'none' END"
+_VESSEL = "CASE o_orderkey % 3 WHEN 0 THEN 'tanker' WHEN 1 THEN 'container' ELSE 'none' END"
 
 
-@query(f"""SELECT concat(project_id, '-', lpad(CAST(i - 1 AS VARCHAR), 3, '0')) AS clause_id, project_id, l[i] AS clause, 'unverified' AS status FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT concat('p', n_nationkey) AS project_id, CASE WHEN n_nationkey % 5 = 0 THEN [n_name, 'X'] WHEN {_VESSEL} = 'tanker' THEN {lx.TEMPLATES['tanker_dnv']} WHEN {_VESSEL} = 'container' THEN {lx.TEMPLATES['container_dnv']} END AS l FROM nation)) WHERE concat(project_id, '-', lpad(CAST(i - 1 AS VARCHAR), 3, '0')) NOT IN (SELECT concat('p', n_nationkey, '-000') FROM nation WHERE n_nationkey % 4 = 0)""")
+@query(f"""SELECT concat(project_id, '-', lpad(CAST(i - 1 AS VARCHAR), 3, '0')) AS clause_id, project_id, l[i] AS clause, 'unverified' AS status FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT concat('p', o_orderkey) AS project_id, CASE WHEN o_orderkey % 5 = 0 THEN [o_orderpriority, 'X'] WHEN {_VESSEL} = 'tanker' THEN {lx.TEMPLATES['tanker_dnv']} WHEN {_VESSEL} = 'container' THEN {lx.TEMPLATES['container_dnv']} END AS l FROM orders)) WHERE concat(project_id, '-', lpad(CAST(i - 1 AS VARCHAR), 3, '0')) NOT IN (SELECT concat('p', o_orderkey, '-000') FROM orders WHERE o_orderkey % 4 = 0)""")
 def h3_compliance_rows(t):
-    pid = F.concat(F.lit("p"), F.col("n_nationkey").cast("string"))
-    given = F.when(F.col("n_nationkey") % 5 == 0, F.array("n_name", F.lit("X"))).otherwise(F.array().cast("array<string>"))
-    projects = t.nation.select(pid.alias("project_id"), F.expr(_VESSEL).alias("vessel"), F.lit("DNV").alias("society"), given.alias("regulations"))
-    existing = t.nation.filter("n_nationkey % 4 = 0").select(F.concat(pid, F.lit("-000")).alias("clause_id"))
+    pid = F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))
+    given = F.when(F.col("o_orderkey") % 5 == 0, F.array("o_orderpriority", F.lit("X"))).otherwise(F.array().cast("array<string>"))
+    projects = t.orders.select(pid.alias("project_id"), F.expr(_VESSEL).alias("vessel"), F.lit("DNV").alias("society"), given.alias("regulations"))
+    existing = t.orders.filter("o_orderkey % 4 = 0").select(F.concat(pid, F.lit("-000")).alias("clause_id"))
     return pj.compliance_rows(projects, existing)
 
 
@@ -75,9 +76,12 @@ def h4_compliance_update(t):
     return _updated(t).select("clause_id", "status", F.array_join("conclusions", ",").alias("conclusions"))
 
 
-@query("SELECT clause_id, CASE WHEN conclusions = 'k20' AND status NOT IN ('verified', 'not_applicable') THEN 'unverified' ELSE status END AS status, CASE WHEN conclusions = 'k20' THEN '' ELSE conclusions END AS conclusions FROM up", cl=_CL, up=_UP)
+@query("""SELECT clause_id, CASE WHEN conclusions <> '' AND len(kept) = 0 AND status NOT IN ('verified', 'not_applicable') THEN 'unverified' ELSE status END AS status, array_to_string(kept, ',') AS conclusions
+FROM (SELECT *, list_filter(string_split(conclusions, ','), lambda c: c <> '' AND CAST(substr(c, 2) AS BIGINT) % 3 <> 2) AS kept FROM up)""", cl=_CL, up=_UP)
 def h5_compliance_rollback(t):
-    return pj.rolled_back(_updated(t), ["k20"]).select("clause_id", "status", F.array_join("conclusions", ",").alias("conclusions"))
+    """The conclusions of every third order are deleted."""
+    deleted = t.orders.filter("o_orderkey % 3 = 2").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("conclusion_id"))
+    return pj.rolled_back(_updated(t), deleted).select("clause_id", "status", F.array_join("conclusions", ",").alias("conclusions"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND contains(lower(text), 'tion') ORDER BY doc_id LIMIT 10")
@@ -86,19 +90,22 @@ def h6_document_search(t):
     return pj.document_search(docs, "TION").select("doc_id")
 
 
-@query("""SELECT * FROM mine UNION ALL SELECT query_id, doc_id, round(0.5 + 0.4 * s, 6), 'global' FROM (SELECT l.source AS query_id, d.doc_id, d.s FROM (SELECT source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source) l JOIN (
-SELECT lang, doc_id, n_chars / (n_chars + 1000.0::DOUBLE) AS s, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) d ON d.lang = l.lang AND d.r <= 20) x
-WHERE query_id NOT IN (SELECT query_id FROM mine WHERE score > 0.7 GROUP BY query_id HAVING count(*) >= 5)""",
-       mine="SELECT source AS query_id, doc_id, CASE WHEN contains(substr(text, 1, 500), 'tionthe') OR contains(substr(text, 1, 500), 'enther') THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS score, 'project' AS source FROM documents")
+_TOPIC = "SELECT source AS query_id, arg_min(text, doc_id) AS text FROM documents WHERE source IS NOT NULL GROUP BY source"
+
+
+@query("""SELECT query_id, doc_id, score, source FROM mine UNION ALL SELECT query_id, chunk_id, round(0.5 + 0.4 * score / (score + 100.0::DOUBLE), 6), 'global' FROM (
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored WHERE source <> query_id) WHERE r <= 20
+AND query_id NOT IN (SELECT query_id FROM mine WHERE score > 0.7 GROUP BY query_id HAVING count(*) >= 5)""",
+       mine="SELECT source AS query_id, doc_id, CASE WHEN contains(substr(text, 1, 500), 'tionthe') OR contains(substr(text, 1, 500), 'enther') THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS score, 'project' AS source FROM documents WHERE source IS NOT NULL",
+       held=ALL, topic=_TOPIC, **(BM25_VIEWS | {"asked_terms": f"SELECT DISTINCT query_id, CAST(NULL AS VARCHAR) AS asked, unnest({BM25_WORDS.format('text')}) AS term FROM topic"}))
 def h7_scoped_search(t):
-    """A source's own documents; the global hits are the 20 longest documents of the language of its first one."""
-    docs = t.documents
-    queries = docs.groupBy(F.col("source").alias("query_id")).agg(F.min_by("lang", "doc_id").alias("lang")).withColumn("regulations", F.array(F.lit("tionthe"), F.lit("enther")))
-    own = docs.select(F.col("source").alias("query_id"), "doc_id", "text")
-    longest = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    top = docs.select("lang", "doc_id", "n_chars", longest.alias("r")).filter("r <= 20")
-    shared = queries.join(top, "lang").select("query_id", "doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("score"))
-    return pj.scoped_search(queries.select("query_id", "regulations"), own, shared)
+    """A source's own documents; the global hits are the best 20 documents of other sources by BM25 for the text of its first one."""
+    docs = t.documents.filter("source is not null")
+    topics = docs.groupBy(F.col("source").alias("query_id")).agg(F.min_by("text", "doc_id").alias("text"))
+    queries = topics.select("query_id", F.array(F.lit("tionthe"), F.lit("enther")).alias("regulations"))
+    hits = stored_index(t).search(topics.withColumn("own", F.col("query_id")), where=F.col("source") != F.col("own"))
+    shared = hits.select("query_id", F.col("chunk_id").alias("doc_id"), (F.col("score") / (F.col("score") + 100.0)).alias("score"))
+    return pj.scoped_search(queries, docs.select(F.col("source").alias("query_id"), "doc_id", "text"), shared)
 
 
 @query("SELECT p_partkey, round(CASE WHEN contains(p_type, 'STEEL') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'brand#1') THEN 0.2 ELSE 0 END + CASE WHEN contains(lower(p_name), '1') THEN 0.3 WHEN contains(lower(p_type), '1') THEN 0.2 ELSE 0 END + CASE WHEN p_size < 18 THEN 0.1 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score FROM part")
@@ -119,6 +126,16 @@ def h9_cycles(t):
     return pj.circular(t.sql(_LINKS), t.sql(_PROPOSED))
 
 
+# Three links from each order of the lower half of a run.
+_BRANCHES = "SELECT o_orderkey AS src, o_orderkey + 1 + j.col AS dst FROM {orders} CROSS JOIN (VALUES (0), (1), (2)) AS j(col) WHERE o_orderkey % 8 < 3"
+
+
+@query("SELECT p.src, p.dst, count(w.src) > 0 AS circular FROM pr p LEFT JOIN (SELECT DISTINCT src, dst FROM walk WHERE here = src OR d = 5) w ON w.src = p.src AND w.dst = p.dst GROUP BY p.src, p.dst",
+       lk="SELECT DISTINCT src, dst FROM (" + _BRANCHES.replace("{orders}", "orders") + ")", pr=_PROPOSED.replace("{orders}", "orders"), walk="SELECT src, dst, dst AS here, 0 AS d FROM pr UNION SELECT w.src, w.dst, l.dst, w.d + 1 FROM walk w JOIN lk l ON l.src = w.here WHERE w.here <> w.src AND w.d < 5")
+def h9_branching(t):
+    return pj.circular(t.sql(_BRANCHES), t.sql(_PROPOSED))
+
+
 @query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id % 5, conv_id % 2 ORDER BY conv_id) + coalesce(last, -1) AS INTEGER) AS order_index FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 = 0) LEFT JOIN (SELECT conv_id % 5 AS p, conv_id % 2 AS f, max(turn) AS last FROM conversations WHERE conv_id % 3 = 1 GROUP BY 1, 2) l ON l.p = conv_id % 5 AND l.f = conv_id % 2")
 def h10_folder_order(t):
     place = [(F.col("conv_id") % 5).alias("project_id"), (F.col("conv_id") % 2).alias("folder")]

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideline.operators.graph import shared_dir
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Folders of stored tables that queries share.
+_BUILT: dict[tuple, str] = {}
 
 #: The derived corpus: society, chapter, year, grade, thickness, temperature and ship type of every document. Same SQL for both engines.
 CORPUS = """
@@ -48,16 +53,15 @@ UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), s_name, 'supplier' FROM
 UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), c_name, 'customer' FROM {customer}
 UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), p_name, 'part' FROM {part}
 """
-#: One Markdown table per region; rows in key order.
+#: One Markdown table per order; rows in line order.
 MARKDOWN_SPARK = """
-SELECT r.r_regionkey AS table_id, concat('| key | name | region |', chr(10), '|---|---|---|', chr(10),
-  array_join(transform(array_sort(collect_list(struct(n_nationkey AS k, concat('| ', CAST(n_nationkey AS STRING), ' | ', n_name, ' | ', r_name, ' |') AS v))), x -> x.v), chr(10))) AS markdown
-FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_regionkey
+SELECT l_orderkey AS table_id, concat('| line | part | flag |', chr(10), '|---|---|---|', chr(10),
+  array_join(transform(array_sort(collect_list(struct(l_linenumber AS k, concat('| ', CAST(l_linenumber AS STRING), ' | part ', CAST(l_partkey AS STRING), ' | ', l_returnflag, ' |') AS v))), x -> x.v), chr(10))) AS markdown
+FROM {lineitem} GROUP BY l_orderkey
 """
 MARKDOWN_DUCK = """
-SELECT r.r_regionkey AS table_id, concat('| key | name | region |', chr(10), '|---|---|---|', chr(10),
-  string_agg(concat('| ', CAST(n_nationkey AS STRING), ' | ', n_name, ' | ', r_name, ' |'), chr(10) ORDER BY n_nationkey)) AS markdown
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_regionkey
+SELECT l_orderkey AS table_id, concat('| line | part | flag |', chr(10), '|---|---|---|', chr(10), string_agg(v, chr(10) ORDER BY l_linenumber, v)) AS markdown
+FROM (SELECT l_orderkey, l_linenumber, concat('| ', CAST(l_linenumber AS STRING), ' | part ', CAST(l_partkey AS STRING), ' | ', l_returnflag, ' |') AS v FROM lineitem) GROUP BY l_orderkey
 """
 _NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -85,6 +89,15 @@ class Tables:
     def corpus(self) -> DataFrame:
         return self.sql(CORPUS)
 
+    def once(self, name: str, build) -> str:
+        """The folder that build(path) has filled; built once for a session and a folder of tables."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _BUILT:
+            path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+            build(path)
+            _BUILT[key] = path
+        return _BUILT[key]
+
     @property
     def questions(self) -> DataFrame:
         return self.sql(QUESTIONS)

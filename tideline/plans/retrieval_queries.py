@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.operators.graph import cut
+from tideline.operators import neighbours as nb
 from tideline.operators import retrieval as rt
 from tideline.plans.registry import query
 
@@ -66,6 +67,14 @@ def d3_approximate_top_k(t):
     return rt.approximate_top_k(*_vectors(t, F.col("chunk_id") % 100 == 0), k=10)
 
 
+@query(_dense_sql(_COS, k=10))
+def d3_graph_top_k(t):
+    """Small-world graphs; wide enough a walk to find all of the ten nearest (the tests measure recall and what is scored)."""
+    queries, chunks = _vectors(t, F.col("chunk_id") % 100 == 0)
+    index = cut(nb.graph_index(chunks))
+    return _six(nb.graph_top_k(queries, index, 10, width=128)).drop("n_scored")
+
+
 @query("SELECT * FROM bm", **_VIEWS)
 def d4_bm25(t):
     return rt.bm25_top_k(_queries(t), _docs(t))
@@ -97,6 +106,31 @@ def d6_rerank(t):
     return rt.rerank(_fused(t), _queries(t), _docs(t))
 
 
+def _dice():
+    """A small model: shared words of two texts over the mean of their numbers of words."""
+    import regex
+
+    found = regex.compile(r"[\p{L}\p{N}]+").findall
+
+    def score(queries, texts):
+        out = []
+        for q, d in zip(queries, texts, strict=True):
+            a, b = {*found(q.lower())}, {*found(d.lower())}
+            out.append(2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0)
+        return out
+
+    return score
+
+
+@query(f"SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT f.query_id, f.chunk_id, CASE WHEN len({_W.format(c='b.text')}) + len({_W.format(c='d.text')}) = 0 THEN 0.0::DOUBLE ELSE 2 * len(list_intersect({_W.format(c='b.text')}, {_W.format(c='d.text')}))::DOUBLE / (len({_W.format(c='b.text')}) + len({_W.format(c='d.text')})) END AS score FROM bm f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id)) WHERE rank <= 10", **_VIEWS)
+def d6_model_rerank(t):
+    """The keyword hits, scored anew by a model that is loaded in the tasks."""
+    from tideline.plans.stored_queries import stored_index
+
+    hits = cut(stored_index(t).search(_queries(t)))
+    return rt.rerank(hits, _queries(t), _docs(t), 10, rt.batch_scorer(_dice)).withColumn("score", F.round("score", 9))
+
+
 @query("SELECT source AS conv_id, doc_id AS turn FROM fold WHERE kept",
        items=r"SELECT conv_id AS source, turn AS doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations",
        fold="SELECT source, i, doc_id, w AS last, true AS kept FROM items WHERE i = 1 UNION ALL SELECT x.source, x.i, x.doc_id, CASE WHEN s THEN f.last ELSE x.w END, NOT s FROM (SELECT f.source, f.i, f.last, x.w AS xw, CASE WHEN len(f.last) + len(x.w) = 0 THEN true ELSE len(list_intersect(f.last, x.w))::DOUBLE / nullif(len(f.last) + len(x.w) - len(list_intersect(f.last, x.w)), 0) >= 0.85 END AS s FROM fold f JOIN items x ON x.source = f.source AND x.i = f.i + 1) f JOIN items x ON x.source = f.source AND x.i = f.i + 1")

@@ -79,9 +79,10 @@ def a5_document_sink(t):
     return good.unionByName(bad)
 
 
-@query("""SELECT n_regionkey AS doc_id, string_agg(concat('# Table ', CAST(n_nationkey AS VARCHAR), chr(10), CASE WHEN n_nationkey % 5 = 4 THEN '# (failed)' ELSE concat('key,name', chr(10), CAST(n_nationkey AS VARCHAR), ',', n_name) END), chr(10) ORDER BY n_nationkey) AS csv FROM nation GROUP BY n_regionkey""")
+@query("""SELECT doc_id, string_agg(b, chr(10) ORDER BY table_no, b) AS csv FROM (SELECT l_orderkey AS doc_id, l_linenumber AS table_no, concat('# Table ', CAST(l_linenumber AS VARCHAR), chr(10), CASE WHEN l_partkey % 5 = 4 THEN '# (failed)' ELSE concat('part,flag', chr(10), CAST(l_partkey AS VARCHAR), ',', l_returnflag) END) AS b FROM lineitem) GROUP BY doc_id""")
 def a6_table_csv(t):
-    rows = t.nation.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("table_no"), F.when(F.col("n_nationkey") % 5 != 4, F.concat(F.lit("key,name\n"), F.col("n_nationkey").cast("string"), F.lit(","), F.col("n_name"))).alias("csv"))
+    csv = F.when(F.col("l_partkey") % 5 != 4, F.concat(F.lit("part,flag\n"), F.col("l_partkey").cast("string"), F.lit(","), "l_returnflag"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("table_no"), csv.alias("csv"))
     return sd.table_csv(rows)
 
 
@@ -262,14 +263,14 @@ def c3_quality_gate(t):
     return _scored(t).groupBy(tb.quality_gate(F.col("c.score")).alias("gate")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT table_id, 'key,name,region' AS header, len(string_split(markdown, chr(10))) - 2 AS n_rows FROM tables_md")
+@query("SELECT table_id, 'line,part,flag' AS header, len(string_split(markdown, chr(10))) - 2 AS n_rows FROM tables_md")
 def c4_headers(t):
     h = tb.headers(t.sql(MARKDOWN_SPARK))
     return h.select("table_id", F.array_join(F.flatten("headers"), ",").alias("header"), F.size("rows").cast("long").alias("n_rows"))
 
 
-@query("""SELECT table_id, row_no, col_no, cell, ['key', 'name', 'region'][col_no + 1] AS col_header, CASE WHEN col_no > 0 THEN cells[1] ELSE '' END AS row_header,
-CASE WHEN col_no > 0 THEN concat(['key', 'name', 'region'][col_no + 1], ' / ', cells[1]) ELSE 'key' END AS header_path FROM (
+@query("""SELECT table_id, row_no, col_no, cell, ['line', 'part', 'flag'][col_no + 1] AS col_header, CASE WHEN col_no > 0 THEN cells[1] ELSE '' END AS row_header,
+CASE WHEN col_no > 0 THEN concat(['line', 'part', 'flag'][col_no + 1], ' / ', cells[1]) ELSE 'line' END AS header_path FROM (
 SELECT table_id, row_no, cells, unnest(cells) AS cell, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS col_no FROM (
 SELECT table_id, CAST(i - 1 AS INTEGER) AS row_no, list_transform(string_split(trim(line, '|'), '|'), lambda x: trim(x)) AS cells FROM (
 SELECT table_id, unnest(lines[3:]) AS line, generate_subscripts(lines[3:], 1) AS i FROM (SELECT table_id, string_split(markdown, chr(10)) AS lines FROM tables_md))))""")

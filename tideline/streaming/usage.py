@@ -1,69 +1,12 @@
-"""Usage over streams of events (event_id, user_id, tier, ts): quotas, rate limits, windows, upserts.
+"""Windows over streams of events and upserts; stateful.py has what needs a user's past.
 
-ts is a TIMESTAMP. State is kept by user (and day or window) and goes when the watermark passes, so it is bounded by the
-users active in that time. Rows of a micro-batch are taken by (ts, event_id); a stream equals the batch operator when
-micro-batches arrive in time order.
+ts is a TIMESTAMP. Aggregates are given out once the watermark has passed their window.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tideline.operators.context import DAILY, PER_WINDOW
-
-_OUT = "user_id long, event_id long, admitted boolean"
-
-
-def rate_limited(events: DataFrame, seconds: int = 60, limits: dict = PER_WINDOW, late: str = "10 minutes") -> DataFrame:
-    """user_id, event_id, admitted: fewer than the limit were admitted in the last ``seconds``; the refused don't count."""
-
-    def step(key, batches, state: GroupState):
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for us, event_id, tier in zip(rows["us"], rows["event_id"], rows["tier"], strict=True):
-            held = [h for h in held if h > us - seconds * 1_000_000]
-            ok = len(held) < limits.get(tier, 2**31)
-            if ok:
-                held.append(int(us))
-            out.append((key[0], event_id, ok))
-        state.update((held,))
-        state.setTimeoutTimestamp(max(int(rows["us"].max()) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted"])
-
-    def or_forget(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return iter(())
-        return step(key, batches, state)
-
-    rows = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(or_forget, _OUT, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def daily_quota(events: DataFrame, limits: dict = DAILY, late: str = "1 day") -> DataFrame:
-    """user_id, event_id, admitted: the first of a user's day, up to the tier's limit."""
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for event_id, tier in zip(rows["event_id"], rows["tier"], strict=True):
-            ok = n < limits.get(tier, 2**31)
-            n += ok
-            out.append((key[0], event_id, ok))
-        state.update((int(n),))
-        state.setTimeoutTimestamp(max((int(rows["us"].max()) // 86_400_000_000 + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted"])
-
-    rows = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).withColumn("day", F.to_date("ts"))
-    return rows.groupBy("user_id", "day").applyInPandasWithState(step, _OUT, "n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling_metrics(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -77,16 +20,17 @@ def sliding_usage(events: DataFrame, width: str = "60 seconds", slide: str = "30
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-def upsert_stream(chunks: DataFrame, path: str, checkpoint: str, key: str = "chunk_id"):
-    """Start a query that keeps the last load of every chunk under path: one folder a batch, so a batch can be run again."""
-    from tideline.sources.documents import upsert
+def upsert_stream(chunks: DataFrame, path: str, checkpoint: str, compact_every: int = 100):
+    """Start a query that loads every micro-batch into the ChunkTable under path, by its number, so a batch can be run again.
+
+    A batch writes its own rows only; the deltas of ``compact_every`` batches are merged into the base at once.
+    """
+    from tideline.sources.chunk_table import ChunkTable
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("load_no", F.lit(number))
-        if number > 0:
-            old = spark.read.schema(new.schema).parquet(f"{path}/v{number - 1}")
-            new = upsert(old, new, key)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        table = ChunkTable(batch.sparkSession, path)
+        table.load(batch, number)
+        if len(table.about["loads"]) >= compact_every:
+            table.compact()
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
