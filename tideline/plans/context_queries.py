@@ -220,9 +220,9 @@ def g8_requirements(t):
     return _values(t)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 0 THEN 'thickness' WHEN 1 THEN 'speed' ELSE lower(trim(l_shipmode)) END AS param FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 0 THEN 'thickness' WHEN 1 THEN 'speed' ELSE lower(trim(l_linestatus)) END AS param FROM lineitem")
 def g9_normalised(t):
-    name = F.when(F.col("l_partkey") % 3 == 0, "板厚").when(F.col("l_partkey") % 3 == 1, " Speed ").otherwise(F.col("l_shipmode"))
+    name = F.when(F.col("l_partkey") % 3 == 0, "板厚").when(F.col("l_partkey") % 3 == 1, " Speed ").otherwise(F.col("l_linestatus"))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", rs.normalised(name).alias("param"))
 
 

@@ -77,7 +77,7 @@ def h4_compliance_update(t):
 
 
 @query("""SELECT clause_id, CASE WHEN conclusions <> '' AND len(kept) = 0 AND status NOT IN ('verified', 'not_applicable') THEN 'unverified' ELSE status END AS status, array_to_string(kept, ',') AS conclusions
-FROM (SELECT *, list_filter(string_split(conclusions, ','), lambda c: c <> '' AND CAST(substr(c, 2) AS BIGINT) % 3 <> 2) AS kept FROM up)""", cl=_CL, up=_UP)
+FROM (SELECT *, list_filter(string_split(conclusions, ','), lambda c: c <> '' AND coalesce(TRY_CAST(substr(c, 2) AS BIGINT), 2) % 3 <> 2) AS kept FROM up)""", cl=_CL, up=_UP)
 def h5_compliance_rollback(t):
     """The conclusions of every third order are deleted."""
     deleted = t.orders.filter("o_orderkey % 3 = 2").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("conclusion_id"))

@@ -63,7 +63,7 @@ def f13_sessions(t):
     return found.select("user_id", ntz("start").alias("start"), ntz("end").alias("end"), "n")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type AS mode, count(*) AS n, round(avg(value), 1) AS avg_latency FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS mode, count(*) AS n, round(avg(value), 6) AS avg_latency FROM events GROUP BY ALL")
 def f14_stream(t):
     found = _drained(t, "f14", st.mode_metrics(_source(t), "1 hour", "1 day"))[0].filter("mode is not null")
-    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "mode", "n", F.round(F.col("spent") / F.col("n"), 1).alias("avg_latency"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "mode", "n", F.round(F.col("spent") / F.col("n"), 6).alias("avg_latency"))

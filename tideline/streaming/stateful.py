@@ -143,8 +143,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def drained(stream: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Run a stream over all that is there into a table under path; returns the table, and how many rows aggregates left out as
-    late (the operators with keyed state give theirs out, with ``late``).
+    """Run a stream over all that is there into a table under path; returns the table, and how many rows Spark dropped as late.
+
+    Spark drops rows behind the watermark of the micro-batch before; operators with keyed state give out, as ``late``, those
+    behind the present one, so both together are the rows that count nowhere.
 
     Started again on the same path it goes on where it stopped.
     """
