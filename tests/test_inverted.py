@@ -64,7 +64,7 @@ def test_search_equals_full_scores(spark, tmp_path, monkeypatch, shard):
     index = InvertedIndex.create(spark, str(tmp_path / "i"), frame([]), ("lang",), buckets=4)
     assert found(index, QUERIES) == []
     index.add(frame([*docs.values(), (None, "w0", "en")]), 0)
-    assert found(index, QUERIES) == brute([*docs.values()], QUERIES, 5) == found(index, QUERIES, prune=False)
+    assert found(index, QUERIES) == brute([*docs.values()], QUERIES, 5) == found(index, QUERIES, prune=True)
     second = texts(range(100, 150), 2)
     index.add(frame(second), 1)
     docs |= {d[0]: d for d in second}
@@ -72,12 +72,14 @@ def test_search_equals_full_scores(spark, tmp_path, monkeypatch, shard):
     docs = {i: d for i, d in docs.items() if i not in (3, 110)}
     index = InvertedIndex(spark, index.path)
     assert found(index, QUERIES) == brute([*docs.values()], QUERIES, 5)
+    assert found(index, QUERIES, prune=True) == brute([*docs.values()], QUERIES, 5)
     third = texts([3], 3)
     index.add(frame(third), 3)
     index.add(frame(texts([4], 9)), 3)  # the same number: already done
     docs |= {3: third[0]}
     assert found(index, QUERIES) == brute([*docs.values()], QUERIES, 5)
-    assert found(index, QUERIES, where=F.col("lang") == "de") == brute([*docs.values()], QUERIES, 5, lambda d, q: d[2] == "de")
+    for prune in (False, True):
+        assert found(index, QUERIES, where=F.col("lang") == "de", prune=prune) == brute([*docs.values()], QUERIES, 5, lambda d, q: d[2] == "de")
     assert {r["chunk_id"] for r in index.documents().collect()} == {*docs}
 
 

@@ -11,6 +11,7 @@ from tideline.operators import context as cx
 from tideline.operators import dictionary as dc
 from tideline.operators import graph as gr
 from tideline.operators import tables as tb
+from tideline.sources import documents as sd
 
 PAGE = """intro line
 # A #
@@ -89,6 +90,35 @@ def test_dictionary_spans(spark):
         dc.spans(docs, words, most_bytes=10)
 
 
+def test_ship_spans(spark):
+    words = {"tug": "Tug", "tugboat": "Tug", "boat": "Boat", "lng carrier": "LNG", "carrier": "Carrier", "a.b": "Dot", "oat": "Oat"}
+    texts = ["A TUGBOAT and a tug", "LNG carrier", "axb a.b", "", None, "tu gboat", "no", "carrier carrier"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", gr.ship_spans(F.col("text"), words).alias("x")).collect()
+    for r in rows:
+        low = (r["text"] or "").lower()
+        assert [tuple(x) for x in r["x"] or []] == [(low.find(w), low.find(w) + len(w), n) for w, n in words.items() if w in low]
+
+
+def test_packed_documents(spark, tmp_path):
+    import base64
+    import datetime
+
+    rows = [(i, f"text {i} ü\n", bytes([i % 256]), datetime.datetime(2024, 1, 1, 0, 0, i % 60)) for i in range(500)] + [(None, "lost", b"", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, raw binary, at timestamp")
+    path = str(tmp_path / "packed")
+    assert [r["text"] for r in sd.write_packed(docs, path, file_bytes=8000).collect()] == ["lost"]
+    files = sorted((tmp_path / "packed" / "lines").glob("part-*"))
+    assert 3 < len(files) < 20  # by bytes, not by documents
+    by_part = {int(f.name.split("-")[1]): f.read_bytes() for f in files}
+    for r in spark.read.parquet(f"{path}/index").collect():
+        d = json.loads(by_part[r["part"]][r["at"] : r["at"] + r["n_bytes"]])
+        i = r["id"]
+        assert d == {"doc_id": i, "text": f"text {i} ü\n", "raw": base64.b64encode(bytes([i % 256])).decode(), "at": f"2024-01-01T00:00:{i % 60:02d}.000000Z"}
+    got = sd.read_packed(spark, path, spark.createDataFrame([(3,), (499,), (999,)], "doc_id long"))
+    assert sorted(json.loads(r["value"])["doc_id"] for r in got.collect()) == [3, 499] and len([f for f in got.inputFiles() if "/lines/" in f]) <= 2
+    assert sd.read_packed(spark, path).count() == 500 and sd.read_packed(spark, path, spark.createDataFrame([(-5,)], "doc_id long")).count() == 0
+
+
 def brute_object(text):
     at = text.find("{")
     if at < 0:

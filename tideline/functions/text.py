@@ -94,12 +94,13 @@ def tokens(text: Column, least: int = 1) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """array of struct(s, e, m): 0-based spans of all matches, from the pieces between them."""
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    """array of struct(s, e, m): 0-based spans of all matches, from the pieces between them. A text is split where it has any."""
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
     step = lambda acc, p: F.struct(
         (acc["at"] + F.length(p["g"]) + F.length(p["h"])).alias("at"),
         F.array_append(acc["out"], F.struct((acc["at"] + F.length(p["g"])).alias("s"), (acc["at"] + F.length(p["g"]) + F.length(p["h"])).alias("e"), p["h"].alias("m"))).alias("out"),
     )
-    found = lambda b: F.aggregate(F.zip_with(F.slice(b["gaps"], F.lit(1), F.size(b["hits"])), b["hits"], lambda g, h: F.struct(g.alias("g"), h.alias("h"))), zero, step, lambda acc: acc["out"])
-    return F.get(F.transform(F.array(both), found), F.lit(0))  # each is looked for once
+    pieces = lambda hits: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    found = lambda hits: F.when(F.size(hits) > 0, F.aggregate(pieces(hits), zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), found), F.lit(0))  # each is looked for once

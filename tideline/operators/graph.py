@@ -5,6 +5,7 @@ entities: entity_id, name, etype, doc_id; relations: relation_id, src, dst, rtyp
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,10 +68,22 @@ def ship_types(text: Column, words: dict[str, str] = lx.SHIP_TYPES) -> Column:
 
 
 def ship_spans(text: Column, words: dict[str, str] = lx.SHIP_TYPES) -> Column:
-    """First spans of the words in the lower-cased text, which is made once (bound as the element of an array)."""
+    """First spans of the words in the lower-cased text, in dictionary order.
+
+    One pass finds the longest word that begins at each place; others that begin there are its beginnings. Only the words that
+    this shows to be there are then looked for. (Word lists of more than some dozens: dictionary.spans().)
+    """
+    longest = sorted(words, key=lambda w: (-len(w), w))
+    firsts = "".join(sorted({re.escape(w[0]) for w in words}))
+    at_place = f"(?=[{firsts}])(?=({'|'.join(map(re.escape, longest))}))"
     known = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(name).alias("m")) for w, name in words.items()))
     spans_of = lambda d, at: F.struct((at - 1).alias("s"), (at - 1 + F.length(d["w"])).alias("e"), d["m"].alias("m"))
-    there = lambda low: F.filter(F.transform(known, lambda d: spans_of(d, F.instr(low, d["w"]))), lambda x: x["s"] >= 0)
+
+    def there(low):
+        met = F.array_distinct(F.regexp_extract_all(low, F.lit(at_place), F.lit(1)))
+        present = lambda met: F.filter(known, lambda d: F.exists(met, lambda m: F.startswith(m, d["w"])))
+        return F.transform(F.flatten(F.transform(F.array(met), present)), lambda d: spans_of(d, F.instr(low, d["w"])))
+
     return F.flatten(F.transform(F.array(F.lower(text)), there))
 
 

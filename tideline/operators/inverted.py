@@ -6,7 +6,7 @@ goes is marked as removed from the segments before, and its terms are taken out
 the documents that are there. Nothing of a document's text is read or split by a search.
 
 Search (MaxScore): every term of a query has an upper bound, from the largest count and least length. The rarest terms are
-scored first; their k-th best sum is a floor under the final k-th score. Terms whose bounds together stay below the floor can't
+scored first, and what they bring up best is scored in full; its k-th best is a floor under the final k-th score. Terms whose bounds together stay below the floor can't
 lift a document into the best k alone: only the others' postings give candidates, without blocks that can't reach the floor,
 and the rest is added to the candidates that still can.
 """
@@ -25,11 +25,13 @@ from tideline.sources.state import State
 SHARD = 8192
 #: What rounding could add to a score.
 SLACK = 1e-7
+#: Postings of all queries' terms over which a search leaves out what it can: below, one pass over all of them takes less.
+PRUNE_OVER = 50_000_000
 
 
 def term_counts(text: Column) -> Column:
     """array<struct<term, tf>> of a text: its words are sorted, and runs of the same counted, in the row."""
-    sorted_words = F.array_sort(words(text))
+    sorted_words = F.sort_array(words(text))
     # Bound once: as an element of an array of one.
     def runs(w: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
@@ -105,7 +107,7 @@ class InvertedIndex:
         n, length = split.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         shards = max(1, -(-n // SHARD))
         new = split.select("chunk_id", "dl", F.explode("t").alias("x")).select("x.term", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.struct("chunk_id", "x.tf", "dl").alias("post"))
-        posts = new.groupBy("term", "shard").agg(F.array_sort(F.collect_list("post")).alias("posts"), F.max("post.tf").alias("max_tf"), F.min("post.dl").alias("min_dl"))
+        posts = new.groupBy("term", "shard").agg(F.sort_array(F.collect_list("post")).alias("posts"), F.max("post.tf").alias("max_tf"), F.min("post.dl").alias("min_dl"))
         self._write(number, shards, split, posts, split.select("chunk_id"), n, length)
 
     def delete(self, doomed: DataFrame, number: int) -> None:
@@ -138,24 +140,28 @@ class InvertedIndex:
 
     # ------------------------------------------------------------ search
 
-    def search(self, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, where: Column | None = None, prune: bool = True) -> DataFrame:
+    def holding(self, terms: DataFrame) -> DataFrame:
+        """(query_id, chunk_id) of documents that may have all terms of a query (query_id, term): those with its rarest one."""
+        df = self.table("terms").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        known = terms.distinct().join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", "df").alias("term"), F.count_if(F.col("df").isNull()).alias("unknown")).filter("unknown = 0")
+        posts = known.select("query_id", "term").join(self.table("postings").select("term", "posts", "seg"), "term").select("query_id", F.explode("posts.chunk_id").alias("chunk_id"), "seg")
+        return self._there(posts).select("query_id", "chunk_id")
+
+    def search(self, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, where: Column | None = None, prune: bool | None = None) -> DataFrame:
         """Hits of (query_id, text): the k best chunks by BM25, and by chunk_id where scores (to 9 digits) are equal.
 
         where: over the fields, and over further columns of ``queries``; what fails it is left out, without a change of scores.
-        prune: False scores all postings of all terms.
+        prune: False scores all postings of all terms in one pass; by default that is done up to PRUNE_OVER postings. Either way
+        the hits are the same.
         """
         n, avgdl = self.about["n"], (self.about["length"] / self.about["n"] if self.about["n"] and self.about["length"] else 1.0)
         asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
         df = self.table("terms").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).filter("df > 0")
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         gain = lambda tf, dl: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
-        t = asked.join(df, "term").withColumn("idf", idf).withColumn("bound", gain(F.col("max_tf"), F.col("min_dl")))
-        by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
-        before = F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rest = F.sum("bound").over(by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        t = cut(t.withColumn("first", before < 4 * k).withColumn("rest", rest).withColumn("all", F.sum("bound").over(Window.partitionBy("query_id"))))
-
+        t = cut(asked.join(df, "term").withColumn("idf", idf).withColumn("bound", gain(F.col("max_tf"), F.col("min_dl"))))
         postings = self.table("postings")
+        of_query = Window.partitionBy("query_id")
 
         def summed(terms: DataFrame, floor: bool) -> DataFrame:
             """(query_id, chunk_id, score) over the terms' postings, of documents that are there and satisfy where."""
@@ -163,31 +169,37 @@ class InvertedIndex:
             if floor:  # a block is left out if even its best document, best in all other terms too, stays below
                 x = x.filter(F.col("all") - F.col("bound") + gain(F.col("block_tf"), F.col("block_dl")) >= F.col("floor"))
             x = x.select("query_id", "idf", "seg", F.explode("posts").alias("p")).select("query_id", "p.chunk_id", "seg", gain(F.col("p.tf"), F.col("p.dl")).alias("w"))
-            return self._there(x.groupBy("query_id", "chunk_id", "seg").agg(F.sum("w").alias("score"))).drop("seg")
-
-        def fits(hits: DataFrame) -> DataFrame:
+            hits = self._there(x.groupBy("query_id", "chunk_id", "seg").agg(F.sum("w").alias("score"))).drop("seg")
             if where is None:
                 return hits
             fields, more = [f.split(" ")[0] for f in self.fields], [c for c in queries.columns if c not in ("query_id", "text")]
             held = self.documents().select("chunk_id", *fields)
-            return hits.join(held, "chunk_id").join(queries.select("query_id", *more), "query_id").filter(where).select(*hits.columns)
-
-        if not prune:
-            return ranked(fits(summed(t, False)).withColumn("score", F.round("score", 9)), k)
-        kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-        floors = fits(summed(t.filter("first"), False)).withColumn("r", kth).filter(F.col("r") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))
+            return hits.join(held, "chunk_id").join(queries.select("query_id", *more), "query_id").filter(where).select("query_id", "chunk_id", "score")
+
+        def completed(hits: DataFrame, terms: DataFrame) -> DataFrame:
+            """hits with what further terms of their queries add: only blocks that hold one of them are opened."""
+            segments = F.array(*(F.struct(F.lit(int(s)).cast("long").alias("seg"), F.lit(m).alias("shards")) for s, m in self.about["segments"].items()))
+            wanted = hits.select("query_id", "chunk_id", F.explode(segments).alias("s")).select("query_id", "chunk_id", "s.*").join(terms.select("query_id", "term", "idf"), "query_id")
+            wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int"))
+            blocks = postings.join(wanted.select("term", "seg", "shard").distinct(), ["term", "seg", "shard"], "left_semi").select("term", "seg", F.explode("posts").alias("p")).select("term", "seg", "p.*")
+            late = self._there(wanted.select("query_id", "chunk_id", "term", "idf", "seg").join(blocks, ["term", "seg", "chunk_id"])).select("query_id", "chunk_id", gain(F.col("tf"), F.col("dl")).alias("score"))
+            return hits.unionByName(late).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+
+        if prune is None:
+            prune = (t.agg(F.sum("df")).first()[0] or 0) > PRUNE_OVER
+        if not prune or not self.about["segments"]:
+            return ranked(summed(t, False).withColumn("score", F.round("score", 9)), k)
+        by_bound = of_query.orderBy(F.desc("bound"), "term")
+        before = F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rest = F.sum("bound").over(by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        t = cut(t.withColumn("first", before < 4 * k).withColumn("rest", rest).withColumn("all", F.sum("bound").over(of_query)))
+        best = F.row_number().over(of_query.orderBy(F.desc("score")))
+        seeds = cut(summed(t.filter("first"), False).withColumn("r", best).filter(F.col("r") <= 4 * k).drop("r"))
+        floors = completed(seeds, t.filter("not first")).withColumn("r", best).filter(F.col("r") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))
         t = cut(t.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
         leading = t.filter(F.col("rest") >= F.col("floor"))  # the others' bounds together stay below the floor
         added = t.filter(F.col("rest") < F.col("floor"))
-        most = added.groupBy("query_id").agg(F.sum("bound").alias("more"))
-        hits = summed(leading, True).join(t.select("query_id", "floor").distinct(), "query_id").join(most, "query_id", "left")
-        hits = cut(fits(hits.filter(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("floor")).select("query_id", "chunk_id", "score")))
-        if not self.about["segments"]:
-            return ranked(hits, k)
-        segments = F.array(*(F.struct(F.lit(int(s)).cast("long").alias("seg"), F.lit(m).alias("shards")) for s, m in self.about["segments"].items()))
-        wanted = hits.select("query_id", "chunk_id", F.explode(segments).alias("s")).select("query_id", "chunk_id", "s.*").join(added.select("query_id", "term", "idf"), "query_id")
-        wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int"))
-        blocks = postings.join(wanted.select("term", "seg", "shard").distinct(), ["term", "seg", "shard"], "left_semi").select("term", "seg", F.explode("posts").alias("p")).select("term", "seg", "p.*")
-        late = self._there(wanted.select("query_id", "chunk_id", "term", "idf", "seg").join(blocks, ["term", "seg", "chunk_id"])).select("query_id", "chunk_id", gain(F.col("tf"), F.col("dl")).alias("score"))
-        total = hits.unionByName(late).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
-        return ranked(total.withColumn("score", F.round("score", 9)), k)
+        more = added.groupBy("query_id").agg(F.sum("bound").alias("more"))
+        hits = summed(leading, True).join(t.select("query_id", "floor").distinct(), "query_id").join(more, "query_id", "left")
+        hits = cut(hits.filter(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.col("floor")).select("query_id", "chunk_id", "score"))
+        return ranked(completed(hits, added).withColumn("score", F.round("score", 9)), k)

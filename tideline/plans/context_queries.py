@@ -94,7 +94,7 @@ def f8_iterative_retrieval(t):
     docs = t.corpus.select("chunk_id", "text")
 
     def retrieve(q):
-        return rt.rerank(rt.bm25_top_k(q, docs, 10), q, docs, 10)
+        return rt.rerank(index.search(q, 10), q, docs, 10)
 
     return cx.iterated(t.questions.select("query_id", F.col("query").alias("text")), retrieve, lx.SYNONYMS)
 

@@ -8,6 +8,7 @@ from tideline.operators.graph import cut
 from tideline.operators import neighbours as nb
 from tideline.operators import retrieval as rt
 from tideline.plans.registry import query
+from tideline.plans.stored_queries import stored_index
 
 _BM25 = r"""hits0 AS (SELECT query_id, chunk_id, round(sum(ln(1 + (c.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / c.avgdl))), 9) AS score
 FROM (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark) q
@@ -77,7 +78,7 @@ def d3_graph_top_k(t):
 
 @query("SELECT * FROM bm", **_VIEWS)
 def d4_bm25(t):
-    return rt.bm25_top_k(_queries(t), _docs(t))
+    return stored_index(t).search(_queries(t))
 
 
 _LISTS = "SELECT query_id, 0 AS list_no, rank, chunk_id FROM bm UNION ALL SELECT query_id, 1, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS INTEGER), chunk_id FROM bm"
@@ -87,7 +88,7 @@ _FUSED = "SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY
 def _fused(t):
     from pyspark.sql import Window
 
-    first = cut(rt.bm25_top_k(_queries(t), _docs(t)))
+    first = cut(stored_index(t).search(_queries(t)))
     second = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     lists = first.select("query_id", F.lit(0).alias("list_no"), "rank", "chunk_id").union(second.select("query_id", F.lit(1), "rank", "chunk_id"))
     return rt.reciprocal_ranks(lists)
@@ -125,8 +126,6 @@ def _dice():
 @query(f"SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT f.query_id, f.chunk_id, CASE WHEN len({_W.format(c='b.text')}) + len({_W.format(c='d.text')}) = 0 THEN 0.0::DOUBLE ELSE 2 * len(list_intersect({_W.format(c='b.text')}, {_W.format(c='d.text')}))::DOUBLE / (len({_W.format(c='b.text')}) + len({_W.format(c='d.text')})) END AS score FROM bm f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id)) WHERE rank <= 10", **_VIEWS)
 def d6_model_rerank(t):
     """The keyword hits, scored anew by a model that is loaded in the tasks."""
-    from tideline.plans.stored_queries import stored_index
-
     hits = cut(stored_index(t).search(_queries(t)))
     return rt.rerank(hits, _queries(t), _docs(t), 10, rt.batch_scorer(_dice)).withColumn("score", F.round("score", 9))
 

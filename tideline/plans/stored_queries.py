@@ -108,11 +108,6 @@ def _queries(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text", lang.alias("asked"))
 
 
-@query(_TOP.format("true"), held=ALL, **BM25_VIEWS)
-def d4_bm25_stored(t):
-    return stored_index(t).search(_queries(t))
-
-
 @query(_TOP.format("(asked IS NULL OR lang = asked) AND source <> 'src1'"), held=ALL, **BM25_VIEWS)
 def d4_bm25_filtered(t):
     """The query's language, where it names one, and all sources but one."""

@@ -66,6 +66,15 @@ def a4_document_record(t):
     return t.documents.select("doc_id", *sd.document_record(fields)).select("doc_id", "filename", "language", "domain", "system", "vessel_types", "custom_tags")
 
 
+@query("SELECT doc_id, md5(text) AS digest, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def a5_packed_sink(t):
+    """All documents to packed files, and those of good quality read back by the index."""
+    path = t.once("packed", lambda path: sd.write_packed(t.documents, path, file_bytes=4 << 20))
+    found = sd.read_packed(t.spark, path, t.labels.filter("quality = 1"))
+    x = F.from_json("value", "doc_id bigint, text string, n_chars bigint")
+    return found.select(x.alias("x")).select("x.doc_id", F.md5("x.text").alias("digest"), "x.n_chars")
+
+
 @query("SELECT strftime(o_orderdate, '%Y%m') AS folder, o_orderkey, o_totalprice, o_orderpriority, false AS refused FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT NULL, o_orderkey, NULL, NULL, true FROM orders WHERE o_orderkey % 7 = 0")
 def a5_document_sink(t):
     """Orders as JSON in a folder of each month, read again; every seventh has no payload and is refused."""

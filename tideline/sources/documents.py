@@ -94,6 +94,43 @@ def read_documents(spark: SparkSession, path: str, by: str = "doc_id") -> DataFr
     return spark.read.schema(f"payload string, {by} string").json(path)
 
 
+def write_packed(docs: DataFrame, path: str, by: str = "doc_id", file_bytes: int = 128 << 20) -> DataFrame:
+    """Write every row as a line of JSON, many documents to a file of about ``file_bytes``; returns the rows refused (no id).
+
+    Under path: lines (text files, sorted by id), index (id, part, at, n_bytes: the file's number, and where in it the line
+    stands) and refused. Binary columns become base64, times ISO 8601, other characters stay as they are. The number of files
+    follows the bytes, not the documents.
+    """
+    from tideline.operators.graph import cut
+
+    empty = F.col(by).isNull() | (F.col(by).cast("string") == "")
+    docs.filter(empty).write.mode("overwrite").parquet(f"{path}/refused")
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    lines = docs.filter(~empty).select(F.col(by).alias("id"), F.to_json(F.struct(*docs.columns), times).alias("value"))
+    total = lines.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
+    held = cut(lines.repartitionByRange(max(1, -(-total // file_bytes)), "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
+    held.select("value").write.mode("overwrite").text(f"{path}/lines")
+    at = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("part").orderBy("id", "value").rowsBetween(Window.unboundedPreceding, -1))
+    held.select("id", "part", F.coalesce(at, F.lit(0)).alias("at"), F.octet_length("value").alias("n_bytes")).write.mode("overwrite").parquet(f"{path}/index")
+    return docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/refused")
+
+
+def read_packed(spark: SparkSession, path: str, wanted: DataFrame | None = None, by: str = "doc_id") -> DataFrame:
+    """value (JSON) of what write_packed() wrote; of ``wanted`` ids only the files that the index names are opened."""
+    lines = spark.read.text(f"{path}/lines")
+    if wanted is None:
+        return lines
+    index = spark.read.parquet(f"{path}/index")
+    parts = index.join(wanted.select(F.col(by).alias("id")).distinct(), "id", "left_semi")
+    held = {r["part"] for r in parts.select("part").distinct().collect()}  # numbers of files
+    files = [f for f in lines.inputFiles() if int(f.rsplit("part-", 1)[1].split("-", 1)[0]) in held]
+    if not files:
+        return lines.limit(0)
+    ids = parts.select("id").distinct()
+    kind = ids.schema["id"].dataType
+    return spark.read.text(files).withColumn("id", F.get_json_object("value", f"$.{by}").cast(kind)).join(ids, "id", "left_semi").select("value")
+
+
 def table_csv(tables: DataFrame) -> DataFrame:
     """doc_id, csv: all tables of a document, in order, under '# Table n'; a table without rows becomes a marker line."""
     body = F.concat(F.lit("# Table "), F.col("table_no").cast("string"), F.lit("\n"), F.coalesce("csv", F.lit("# (failed)")))
