@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import alignment, merkle, nearest
+from tideline.llm import alignment, html_text, merkle, nearest
 from tideline.llm.vocabulary import default_path
 
 TEXTS = [
@@ -231,3 +231,21 @@ def test_manifest(spark, n, sources):
 
 def test_empty_manifest(spark):
     assert merkle.manifest(spark.createDataFrame([], "doc_id long, source string, lang string, n_chars long, text string")).collect() == []
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_links_end_with_their_block(spark):
+    """A link that isn't closed takes no text of later blocks with it; one around blocks still covers them."""
+    long = "These words belong to the article and go on for long enough to be told from a menu by their number alone."
+    pages = [
+        f"<article><p>Text <a href=x>link</p><p>{long}</p><p>{long}</p></article>",
+        f"<article><ul><li><a href=x>one<li>{long}</ul><p>{long}</p></article>",
+        f"<article><p>{long}</p><a href=x><div>{long}</div></a><p>{long}</p></article>",
+        "<article><p>" + f"{long} " * 20_000 + "</p></article>",
+    ]
+    rows = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(i, "http://a/b", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert rows[0].endswith(f"{long}\n\n{long}") and long in rows[1]
+    assert [b for _, b, *_ in html_text.blocks(pages[2])][1] < [b for _, b, *_ in html_text.blocks(pages[2])][0]
+    assert rows[3] == (f"{long} " * 20_000).strip()

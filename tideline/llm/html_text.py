@@ -83,7 +83,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
     stack = [_Open("", 0.0, False, 0)]
     parts: list[str] = []
     linked = 0  # characters of the block that stand in links
-    links, number = 0, 0
+    links, number = 0, 0  # links: the depth at which an open link stands
 
     def flush() -> None:
         nonlocal linked
@@ -120,7 +120,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             parts.append(" ")
             continue
         if tag == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if m["close"] else len(stack)
             continue
         if tag in _BLOCKS:
             flush()
@@ -133,12 +133,14 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                         flush()
                     del stack[i:]
                     break
+            links = links if links <= len(stack) else 0  # a link that isn't closed ends with its block
             continue
         if tag == "p" or tag in _BLOCKS and stack[-1].tag == "p":
             while stack[-1].tag == "p":
                 stack.pop()
         elif tag == "li" and stack[-1].tag == "li" or tag in ("td", "th", "tr") and stack[-1].tag in ("td", "th") or tag in ("dd", "dt") and stack[-1].tag in ("dd", "dt"):
             stack.pop()
+        links = links if links <= len(stack) else 0
         if tag in _VOID or m["attrs"].endswith("/") and tag not in _BLOCKS:
             continue
         top = stack[-1]
