@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.common import staged
+
 #: Rows that the rotation and ``needed`` are learned from, at most.
 SAMPLE = 4096
 #: Bits of a substring, and of a code at most.
@@ -188,6 +190,7 @@ def search(vectors: DataFrame, queries: Column | None = None, k: int = 10, sampl
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("asked"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.coalesce(F.max("asked"), F.lit(False)).alias("asked"))
+    rows = staged(rows)  # read for the sample, the count, the index and the queries
     chosen = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]
     out = "query_id long, rank int, vec_id long, score double"
     if not chosen:
