@@ -66,7 +66,10 @@ SYNONYMS = {
     "requirement": ["criteria", "specification", "standard"],
 }
 #: First bytes in hex, in order, to a format; null leaves it to the extension.
-MAGIC = [("255044462d", "pdf"), ("89504e47", "image"), ("ffd8ff", "image"), ("49492a00", "image"), ("4d4d002a", "image"), ("424d", "image"), ("504b0304", None), ("3c21444f43545950", "html"), ("3c68746d6c", "html")]
+MAGIC = [
+    (b"%PDF-", "pdf"), (b"\x89PNG", "image"), (b"\xff\xd8\xff", "image"), (b"II*\x00", "image"), (b"MM\x00*", "image"), (b"BM", "image"), (b"PK\x03\x04", None),
+    (b"<!DOCTYP", "html"), (b"<html", "html"),
+]
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "html": "html", "htm": "html", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image", "tif": "image", "bmp": "image", "csv": "csv", "md": "markdown"}
 PERMISSIONS = {"viewer": ["read", "comment"], "editor": ["read", "comment", "write"], "owner": ["read", "comment", "write", "admin"]}
 TEMPLATES = {

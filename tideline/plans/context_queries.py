@@ -8,6 +8,7 @@ from tideline.functions import lexicon as lx
 from tideline.operators import context as cx
 from tideline.operators import research as rs
 from tideline.operators import retrieval as rt
+from tideline.operators.inverted import InvertedIndex
 from tideline.plans.registry import GRAPH_NODES, query
 
 _TIER = "CASE user_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'pro' ELSE 'enterprise' END"
@@ -92,6 +93,7 @@ def f7_query_expansion(t):
 @query()
 def f8_iterative_retrieval(t):
     docs = t.corpus.select("chunk_id", "text")
+    index = InvertedIndex(t.spark, t.once("corpus-index", lambda path: InvertedIndex.create(t.spark, path, docs).add(docs, 0)))
 
     def retrieve(q):
         return rt.rerank(index.search(q, 10), q, docs, 10)

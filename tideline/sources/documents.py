@@ -14,11 +14,11 @@ def extension(path: Column) -> Column:
 
 def detect_format(path: Column, content: Column, magic=lx.MAGIC, extensions=lx.EXTENSIONS) -> Column:
     """The format by the first bytes, in order; containers and unknown bytes go by the extension; null if that is unknown too."""
-    start = F.lower(F.hex(F.substring(content, 1, 8)))
+    start = F.substring(content, 1, 8)
     by_name = F.create_map(*(F.lit(x) for kv in extensions.items() for x in kv))[extension(path)]
     out = by_name
     for head, name in reversed(magic):
-        out = F.when(start.startswith(head), by_name if name is None else F.lit(name)).otherwise(out)
+        out = F.when(F.startswith(start, F.lit(head)), by_name if name is None else F.lit(name)).otherwise(out)
     return out
 
 
