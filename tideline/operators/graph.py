@@ -158,7 +158,7 @@ def first_object(text: Column) -> Column:
     """The text from the first { to the } that balances it; braces within strings don't count, nor quotes after a backslash in
     one. Null if there is none. A fold over runs of plain characters and single signs, not over characters."""
     tail = F.nullif(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(""))
-    signs = F.regexp_extract_all(tail, F.lit(r'(?s)["{}\\]|[^"{}\\]+'), F.lit(0))
+    signs = lambda tail: F.regexp_extract_all(tail, F.lit(r'(?s)["{}\\]|[^"{}\\]+'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(a, x):
@@ -172,7 +172,8 @@ def first_object(text: Column) -> Column:
             at.alias("at"), F.when((a["end"] == 0) & brace & (x == "}") & (depth == 0), at).otherwise(a["end"]).alias("end"),
         )
 
-    return F.aggregate(signs, start, step, lambda a: F.when(a["end"] > 0, F.substring(tail, F.lit(1), a["end"])))
+    found = lambda tail: F.aggregate(signs(tail), start, step, lambda a: F.when(a["end"] > 0, F.substring(tail, F.lit(1), a["end"])))
+    return F.get(F.transform(F.array(tail), found), F.lit(0))
 
 
 def parsed_outputs(outputs: DataFrame) -> DataFrame:
@@ -199,10 +200,16 @@ def parsed_outputs(outputs: DataFrame) -> DataFrame:
         src, dst, kind = F.coalesce(text(x, "$.source"), F.lit("")), F.coalesce(text(x, "$.target"), F.lit("")), F.coalesce(text(x, "$.type"), F.lit("references"))
         return F.struct(relation_id(src, dst, kind).alias("relation_id"), src.alias("src"), dst.alias("dst"), kind.alias("rtype"), properties(x).alias("properties"))
 
-    listed = lambda name: F.filter(F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")), is_object)
-    rows = outputs.select("output_id", value.alias("v")).select("output_id", F.transform(listed("entities"), entity).alias("entities"), F.transform(listed("relations"), relation).alias("relations"))
-    ids = F.transform("entities", lambda e: e["entity_id"])
-    return rows.withColumn("relations", F.filter("relations", lambda r: F.array_contains(ids, r["src"]) & F.array_contains(ids, r["dst"])))
+    listed = lambda v, name: F.filter(F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>")), is_object)
+    # What is used more than once is bound as the element of an array.
+    both = lambda v: F.struct(F.transform(listed(v, "entities"), entity).alias("e"), F.transform(listed(v, "relations"), relation).alias("r"))
+
+    def closed(x):
+        ids = F.array(F.transform(x["e"], lambda e: e["entity_id"]))
+        kept = F.get(F.transform(ids, lambda known: F.filter(x["r"], lambda r: F.array_contains(known, r["src"]) & F.array_contains(known, r["dst"]))), F.lit(0))
+        return F.struct(x["e"].alias("entities"), kept.alias("relations"))
+
+    return outputs.select("output_id", F.get(F.transform(F.transform(F.array(value), both), closed), F.lit(0)).alias("p")).select("output_id", "p.entities", "p.relations")
 
 
 def parse_entities(outputs: DataFrame) -> DataFrame:
