@@ -1,4 +1,4 @@
-"""Retrieval over tables of many queries: vectors, BM25, fusion, reranking, levels, metrics.
+"""Retrieval over tables of many queries: vectors, fusion, reranking, levels, metrics (BM25: inverted.py).
 
 Hits are rows (query_id, chunk_id, score, rank). Ties in score go to the lower chunk_id.
 """
@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.graph import cut
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -78,25 +76,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of (query_id, text) over (chunk_id, text): postings by term, one score per query and chunk, best k.
-
-    Documents are split into terms once. Only the postings of query terms go on, and one of the empty term for every
-    document, which tells how many there are and their mean length; these are written once and then counted and scored.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    split = docs.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
-    postings = cut(split.join(wanted, "term").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
-    n, avgdl = postings.filter("term = ''").agg(F.count("*"), F.avg("dl")).first()
-    df = postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = asked.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", 9)), k)
-
-
 def reciprocal_ranks(lists: DataFrame, k: int = 60, top_k: int = 50) -> DataFrame:
     """Fusion of (query_id, list_no, rank, chunk_id): sums of 1 / (k + rank); ties keep the first list and rank."""
     fused = lists.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
