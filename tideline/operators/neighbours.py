@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.retrieval import ranked
+from tideline.operators.retrieval import dense_top_k, ranked
 
 #: Chunks of a part, about; links a chunk gets when it is inserted (twice as many at most); width of a search when building.
 PART, LINKS, WIDTH = 16_384, 16, 64
@@ -183,3 +183,10 @@ def graph_top_k(queries: DataFrame, index: DataFrame, k: int = 20, width: int =
     found = dealt.mapInArrow(run, f"query_id {kind}, chunk_id {none}, score double, scored long")
     total = F.sum("scored").over(Window.partitionBy("query_id"))
     return ranked(found.withColumn("n_scored", total), k).select("query_id", "chunk_id", "score", "rank", "n_scored")
+
+
+def checked(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """The k nearest of all chunks, without a miss: hits of graph_top_k() give each query a floor, and whatever else reaches it
+    is put in. One pass over the pairs of queries and chunks, as matrix products."""
+    floors = hits.filter(F.col("rank") == k).select("query_id", (F.col("score") - 1e-9).alias("floor"))
+    return dense_top_k(queries.join(floors, "query_id", "left"), chunks, k)

@@ -8,7 +8,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +34,112 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "cosine", where: Column | None = None, block: int = 1000, parts: int = 32, post_filter: bool = False) -> DataFrame:
+#: Queries of a block and chunks of a part, about; queries that are multiplied together.
+BLOCK, PART, TOGETHER = 4096, 32_768, 256
+#: What a matrix product may be off, against the sum in order, for vectors of length 1.
+OFF = 1e-9
+
+
+def _matrix(vectors: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The given rows, all of one length, as doubles."""
+    return vectors.take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.size, -1)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row products, summed from the first place to the last (as SQL engines do, so that equal vectors tie)."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _best_of(q: np.ndarray, floors: np.ndarray, x: np.ndarray, order: np.ndarray, k: int, mode: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, row of x, score) of the k best rows of x for each of q, above its floor, ties by ``order``.
+
+    A matrix product finds who can be among them; these alone are scored in order.
+    """
+    with np.errstate(all="ignore"):
+        nq, nx = _in_order(q, q), _in_order(x, x)
+        if mode != "inner":
+            of_q, of_x = np.flatnonzero(nq != 0), np.flatnonzero(nx != 0)
+        else:
+            of_q, of_x = np.arange(len(q)), np.arange(len(x))
+        if not of_x.size:
+            return
+        u = x[of_x] if mode == "inner" else x[of_x] / np.sqrt(nx[of_x])[:, None]
+        longest = float(np.nanmax(np.sqrt(nx[of_x]), initial=0.0)) if mode == "inner" else 1.0
+        for lo in range(0, of_q.size, TOGETHER):
+            rows = of_q[lo : lo + TOGETHER]
+            v = q[rows] if mode == "inner" else q[rows] / np.sqrt(nq[rows])[:, None]
+            near = v @ u.T
+            odd = ~np.isfinite(near)
+            near[odd] = -np.inf
+            floor = 2 * floors[rows] - 1 if mode == "half" else floors[rows]
+            if of_x.size > k:
+                floor = np.maximum(floor, np.partition(near, of_x.size - k, axis=1)[:, of_x.size - k])
+            slack = OFF * (np.sqrt(nq[rows]) * longest if mode == "inner" else np.ones(rows.size))
+            at, to = np.nonzero(~(near < (floor - slack)[:, None]) | odd)
+            score = np.empty(at.size)
+            for i in range(0, at.size, 65_536):
+                some = slice(i, i + 65_536)
+                score[some] = _in_order(q[rows[at[some]]], x[of_x[to[some]]])
+            if mode != "inner":
+                score = np.clip(score / np.sqrt(nq[rows[at]] * nx[of_x[to]]), -1, 1)
+            if mode == "half":
+                score = (1 + score) / 2
+            by = np.lexsort((order[of_x[to]], np.where(np.isnan(score), -np.inf, -score), at))
+            at, to, score = at[by], to[by], score[by]
+            first = np.searchsorted(at, np.arange(rows.size))
+            kept = np.arange(at.size) - first[at] < k
+            yield rows[at[kept]], of_x[to[kept]], score[kept]
+
+
+def scored_cells(queries: DataFrame, chunks: DataFrame, by: list[str], k: int, mode: str = "cosine") -> DataFrame:
+    """query_id, chunk_id, score, held: the k best chunks (chunk_id, vector, held) of every query (query_id, vector, floor) in
+    each group of the columns ``by``, which deal both to what a task can hold. Vectors of another length, with nulls, and for
+    cosines zero vectors, take no part."""
+    whole = F.col("vector").isNotNull() & F.forall("vector", lambda v: v.isNotNull())
+    q = queries.filter(whole).select(*by, "query_id", F.col("vector").alias("q"), "floor")  # both names are new: the sides may be one table
+    c = chunks.filter(whole).select(*by, "chunk_id", F.col("vector").alias("x"), "held")
+    kinds = [q.schema["query_id"].dataType.simpleString(), c.schema["chunk_id"].dataType.simpleString()]
+
+    def best(asked: pa.Table, there: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and there.num_rows:
+            order = np.empty(there.num_rows, np.int64)
+            order[pc.sort_indices(there.column("chunk_id")).to_numpy()] = np.arange(there.num_rows)
+            floors = np.where(asked.column("floor").is_null().to_numpy(), -np.inf, asked.column("floor").fill_null(0.0).to_numpy())
+            dims = [pc.list_value_length(v).to_numpy() for v in (asked.column("q"), there.column("x"))]
+            for dim in np.unique(dims[0]):
+                of_q, of_c = (np.flatnonzero(d == dim) for d in dims)
+                if of_c.size:
+                    x = _matrix(there.column("x"), of_c)
+                    for i, j, score in _best_of(_matrix(asked.column("q"), of_q), floors[of_q], x, order[of_c], k, mode):
+                        found.append((of_q[i], of_c[j], score))
+        i, j, score = (np.concatenate([f[n] for f in found] or [np.zeros(0, int)]) for n in range(3))
+        held = there.take(pa.array(j, pa.int64()))
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(i, pa.int64())), "chunk_id": held.column("chunk_id"), "score": pa.array(score, pa.float64()), "held": held.column("held")})
+
+    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double, held boolean")
+
+
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, mode: str = "cosine", where: Column | None = None, block: int = BLOCK, parts: int | None = None, post_filter: bool = False) -> DataFrame:
     """Exact nearest chunks of every query (query_id, vector) among (chunk_id, vector), filter first (or last, if told so).
 
-    Queries are dealt to blocks of about ``block`` and chunks to parts, and every part meets each block once: a task holds a part
-    of the chunks and one block of the queries; only k rows of a query leave a part, before the ranks of all parts meet.
+    Queries are dealt to blocks of about ``block`` and chunks to parts (of about PART, 32 at least), and every part meets each
+    block once, as a product of matrices in one task; only k rows of a query leave a part, before the ranks of all parts meet.
+    Scores are sums in double precision, from the first place to the last. Where queries have a column floor, chunks that score
+    below it are left out.
     """
-    blocks = max(1, -(-queries.count() // block))
     candidates = chunks if where is None or post_filter else chunks.filter(where)
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("queries"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    c = candidates.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = c.join(q, ["block", "part"]).withColumn("x", F.explode("queries"))
-    extra = [n for n in chunks.columns if n not in ("chunk_id", "vector")]
-    hits = pairs.select("x.query_id", "chunk_id", "part", similarity(F.col("x.q"), F.col("vector"), mode).alias("score"), *extra).filter("score is not null")
-    of_part = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "chunk_id"))
-    top = ranked(hits.withColumn("of_part", of_part).filter(F.col("of_part") <= k).drop("of_part", "part"), k)
-    return (top.filter(where) if post_filter and where is not None else top).select("query_id", "chunk_id", "score", "rank")
+    blocks = max(1, -(-queries.count() // block))
+    parts = parts or max(32, -(-candidates.count() // PART))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    floor = F.col("floor").cast("double") if "floor" in queries.columns else F.lit(None).cast("double")
+    q = queries.select("query_id", "vector", floor.alias("floor"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("part", numbers(parts))
+    held = F.coalesce(where, F.lit(False)) if post_filter and where is not None else F.lit(True)
+    c = candidates.select("chunk_id", "vector", held.alias("held"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part")).withColumn("block", numbers(blocks))
+    return ranked(scored_cells(q, c, ["block", "part"], k, mode), k).filter("held").select("query_id", "chunk_id", "score", "rank")
 
 
 def cells(chunks: DataFrame, n_cells: int, seed: int = 7, sample: int = 2000) -> tuple[list, DataFrame]:
@@ -74,8 +166,12 @@ def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, n_cell
     known = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # n_cells centres, 128 at most by default
     far = F.transform(known, lambda c, i: F.struct((-similarity(F.col("vector"), c)).alias("far"), i.alias("cell")))
     near = queries.withColumn("x", F.explode(F.slice(F.array_sort(far), 1, probes)))
-    pairs = indexed.join(near.select("query_id", F.col("vector").alias("q"), "x.cell"), "cell")
-    return ranked(pairs.select("query_id", "chunk_id", similarity(F.col("q"), F.col("vector")).alias("score")), k)
+    n, asked = chunks.count(), queries.count()
+    parts, blocks = max(1, -(-n // (n_cells * PART))), max(1, -(-asked // BLOCK))  # a cell's chunks and queries by hash, as in dense_top_k()
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = near.select("query_id", "vector", F.lit(None).cast("double").alias("floor"), "x.cell", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("part", numbers(parts))
+    c = indexed.select("chunk_id", "vector", F.lit(True).alias("held"), "cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part")).withColumn("block", numbers(blocks))
+    return ranked(scored_cells(q, c, ["cell", "part", "block"], k), k).select("query_id", "chunk_id", "score", "rank")
 
 
 def words(text: Column) -> Column:
