@@ -15,6 +15,10 @@ from tideline.functions import lexicon as lx
 from tideline.functions.text import match_spans
 
 
+#: Characters of a clause, at most, by which names are looked up.
+PIECE = 32
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only where the session names none and runs on this machine (tests)."""
     sc = spark.sparkContext
@@ -295,13 +299,26 @@ def topic_graph(entities: DataFrame, relations: DataFrame, topic: str, depth: in
 
 
 def cross_references(entities: DataFrame, relations: DataFrame, asked: DataFrame, least: float = 0.8, kinds=("similar_to", "equivalent_to")) -> DataFrame:
-    """For asked (clause, society, target): the best mapping edge from a clause of society to one of target, over ``least``."""
-    e = entities.select("entity_id", "name", F.col("society").alias("s"))
-    src = asked.join(e, (F.col("s") == F.col("society")) & F.contains(F.lower("name"), F.lower("clause"))).select("clause", "society", "target", F.col("entity_id").alias("src"))
-    dst = e.select(F.col("entity_id").alias("dst"), F.col("name").alias("found"), F.col("s").alias("target"))
-    hits = src.join(relations.filter(F.col("rtype").isin(*kinds)), "src").join(dst, ["dst", "target"])
-    best = F.row_number().over(Window.partitionBy("clause", "society", "target").orderBy(F.desc("confidence"), "src", "dst"))
-    return hits.withColumn("r", best).filter((F.col("r") == 1) & (F.col("confidence") > least)).select("clause", "society", "target", "src", "dst", "found", "confidence")
+    """For asked (clause, society, target): the best mapping edge from a clause of society to one of target, over ``least``.
+
+    Of edges between the same names and societies the best is kept first. Names that hold a clause are found by equality, with
+    all their pieces of the length of the clause (or of its first PIECE characters), not by trying all pairs.
+    """
+    e = entities.select("entity_id", F.lower("name").alias("low"), "name", F.col("society").alias("society"))
+    src, dst = e.select(F.col("entity_id").alias("src"), "low", "society"), e.select(F.col("entity_id").alias("dst"), F.col("name").alias("found"), F.col("society").alias("target"))
+    edges = relations.filter(F.col("rtype").isin(*kinds) & (F.col("confidence") > least)).select("src", "dst", "confidence").join(src, "src").join(dst, "dst")
+    best = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("confidence"), "src", "dst"))
+    named = edges.withColumn("r", best("low", "society", "target")).filter("r = 1").drop("r")
+    low, size = F.lower("clause"), lambda c: F.least(F.length(c), F.lit(PIECE))
+    wanted = asked.select("clause", "society", "target").distinct().withColumn("piece", F.substring(low, F.lit(1), size(low)))
+    sizes = wanted.filter("piece is not null").select(F.length("piece").alias("n")).distinct()  # PIECE + 1 rows at most
+    names = named.select("low").distinct().join(F.broadcast(sizes), F.length("low") >= F.col("n"))
+    at = F.when(F.col("n") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.greatest(F.length("low") - F.col("n") + 1, F.lit(1))))
+    pieces = names.select("low", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("low"), i, F.col("n"))))).alias("piece"))
+    # Clauses and names meet once each, before societies and edges come to them.
+    pairs = wanted.select("clause", "piece").distinct().join(pieces, "piece").filter(F.contains("low", F.lower("clause"))).select("clause", "low")
+    hits = wanted.select("clause", "society", "target").join(pairs, "clause").join(named, ["low", "society", "target"])
+    return hits.withColumn("r", best("clause", "society", "target")).filter("r = 1").select("clause", "society", "target", "src", "dst", "found", "confidence")
 
 
 def write_back(relations: DataFrame, found: DataFrame) -> DataFrame:
