@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import lexicon as lx
-from tideline.functions.text import match_spans
+from tideline.functions.text import as_re2, match_spans
 
 
 #: Characters of a clause, at most, by which names are looked up.
@@ -42,15 +42,15 @@ def first_seen(names: Column) -> Column:
 
 
 def steel_grades(text: Column) -> Column:
-    return first_seen(F.regexp_extract_all(text, F.lit(lx.STEEL_GRADE), F.lit(0)))
+    return first_seen(F.regexp_extract_all(text, F.lit(as_re2(lx.STEEL_GRADE)), F.lit(0)))
 
 
 def equipment(text: Column) -> Column:
-    return first_seen(F.regexp_extract_all(text, F.lit(lx.EQUIPMENT), F.lit(0)))
+    return first_seen(F.regexp_extract_all(text, F.lit(as_re2(lx.EQUIPMENT)), F.lit(0)))
 
 
 def parameters(text: Column) -> Column:
-    return first_seen(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in lx.PARAMETERS)), lambda x: F.trim(x)))
+    return first_seen(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(as_re2(p)), F.lit(0)) for p in lx.PARAMETERS)), lambda x: F.trim(x)))
 
 
 def spans(text: Column, patterns: list[str]) -> Column:

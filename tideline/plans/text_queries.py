@@ -167,7 +167,7 @@ _KW = r"list_concat(regexp_extract_all(text, '\b[A-Z]{2,4}\d{2,3}\b'), list_tran
 
 @query(f"SELECT chunk_id, w AS keyword, min(i) AS first_at FROM (SELECT chunk_id, unnest(k) AS w, generate_subscripts(k, 1) - 1 AS i FROM (SELECT chunk_id, {_KW} AS k FROM corpus)) GROUP BY chunk_id, w")
 def b7_keywords(t):
-    k = F.concat(F.regexp_extract_all("text", F.lit(lx.STEEL_GRADE), F.lit(0)), F.transform(F.regexp_extract_all("text", F.lit(lx.TEMPERATURE), F.lit(0)), lambda x: F.trim(x)))
+    k = F.concat(F.regexp_extract_all("text", F.lit(tx.as_re2(lx.STEEL_GRADE)), F.lit(0)), F.transform(F.regexp_extract_all("text", F.lit(tx.as_re2(lx.TEMPERATURE)), F.lit(0)), lambda x: F.trim(x)))
     distinct = t.corpus.select("chunk_id", k.alias("all"), F.explode(tx.keywords(F.col("text"))).alias("keyword"))
     return distinct.select("chunk_id", "keyword", (F.array_position("all", F.col("keyword")) - 1).cast("long").alias("first_at"))
 
