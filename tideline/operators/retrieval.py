@@ -249,6 +249,28 @@ def by_level(hits: DataFrame, least: int = 3) -> DataFrame:
     return hits.join(chosen, ["query_id", "level"])
 
 
+def at_level(queries: DataFrame, chunks: DataFrame, levels: list[list[str]], least: int = 3, parts: int = 32) -> DataFrame:
+    """query_id, level, chunk_id as by_level() keeps them, where a hit of a level is a chunk that equals the query in all of its
+    columns. What a level has is counted by its values, so only hits of the chosen levels are made; ``parts`` deals the chunks
+    of the same values to tasks."""
+    of, known = queries, []
+    for level, names in enumerate(levels):
+        n = chunks.groupBy(*(F.col(c).alias(f"__{c}") for c in names)).agg(F.count("*").alias(f"__n{level}"))
+        on = [F.col(c) == F.col(f"__{c}") for c in names]
+        of = of.join(n, on, "left").drop(*(f"__{c}" for c in names))
+        known.append(F.when(F.col(f"__n{level}") > 0, F.struct(F.lit(level).alias("level"), F.col(f"__n{level}").alias("n"))))
+    enough = [F.when(k["n"] >= least, k["level"]) for k in known]
+    chosen = F.coalesce(*enough, *(k["level"] for k in reversed(known)))
+    asked = of.withColumn("level", chosen).filter("level is not null")
+    out = None
+    dealt = chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+    for level, names in enumerate(levels):
+        q = asked.filter(F.col("level") == level).select("query_id", "level", *(F.col(c).alias(f"__{c}") for c in names), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+        hits = dealt.join(q, [F.col("part") == F.col("__part"), *(F.col(c) == F.col(f"__{c}") for c in names)]).select("query_id", "level", "chunk_id")
+        out = hits if out is None else out.union(hits)
+    return out
+
+
 def assembled(hits: DataFrame, k: int = 20) -> DataFrame:
     """Hits with total_found (of all of a query) and the first k of them."""
     w = Window.partitionBy("query_id")
