@@ -158,9 +158,19 @@ def with_original(properties: Column, name: Column, kind: Column, society: Colum
     return F.when(changed, F.map_concat(kept, F.create_map(F.lit("original_name"), name))).otherwise(F.coalesce(properties, F.create_map().cast("map<string,string>")))
 
 
+def _shallow(depth: int = 6) -> str:
+    """A pattern of balanced objects of up to ``depth`` levels at the start of a text."""
+    quoted = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    inner = ""
+    for _ in range(depth):
+        inner = r'\{(?:[^"{}]++|' + quoted + (f"|{inner}" if inner else "") + r")*+\}"
+    return "(?s)^" + inner
+
+
 def first_object(text: Column) -> Column:
     """The text from the first { to the } that balances it; braces within strings don't count, nor quotes after a backslash in
-    one. Null if there is none. A fold over runs of plain characters and single signs, not over characters."""
+    one. Null if there is none. Objects of few levels are found by a pattern, others by a fold over runs of plain characters and
+    single signs."""
     tail = F.nullif(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(""))
     signs = lambda tail: F.regexp_extract_all(tail, F.lit(r'(?s)["{}\\]|[^"{}\\]+'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
@@ -176,7 +186,8 @@ def first_object(text: Column) -> Column:
             at.alias("at"), F.when((a["end"] == 0) & brace & (x == "}") & (depth == 0), at).otherwise(a["end"]).alias("end"),
         )
 
-    found = lambda tail: F.aggregate(signs(tail), start, step, lambda a: F.when(a["end"] > 0, F.substring(tail, F.lit(1), a["end"])))
+    folded = lambda tail: F.aggregate(signs(tail), start, step, lambda a: F.when(a["end"] > 0, F.substring(tail, F.lit(1), a["end"])))
+    found = lambda tail: F.coalesce(F.nullif(F.regexp_extract(tail, _shallow(), 0), F.lit("")), folded(tail))
     return F.get(F.transform(F.array(tail), found), F.lit(0))
 
 
@@ -216,18 +227,24 @@ def parsed_outputs(outputs: DataFrame) -> DataFrame:
     return outputs.select("output_id", F.get(F.transform(F.transform(F.array(value), both), closed), F.lit(0)).alias("p")).select("output_id", "p.entities", "p.relations")
 
 
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """The row of each key that comes first by (output_id, n), n left out. Most go before the shuffle, so that a key that every
+    output names isn't sorted in one task."""
+    rest = [c for c in rows.columns if c not in ("output_id", "n", key)]
+    first = rows.groupBy(key).agg(F.min(F.struct("output_id", "n", *rest)).alias("x"))
+    return first.select(*(F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in rows.columns if c != "n"))
+
+
 def parse_entities(outputs: DataFrame) -> DataFrame:
     """output_id, entity_id, name, etype, properties, confidence of raw model outputs; of an id the first stays."""
     rows = parsed_outputs(outputs).select("output_id", F.posexplode("entities").alias("n", "x")).select("output_id", "n", "x.*", F.lit(0.9).alias("confidence"))
-    w = Window.partitionBy("entity_id").orderBy("output_id", "n")
-    return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "n")
+    return first_of(rows, "entity_id")
 
 
 def parse_relations(outputs: DataFrame) -> DataFrame:
     """output_id, relation_id, src, dst, rtype, properties, confidence of raw model outputs; of an id the first stays."""
     rows = parsed_outputs(outputs).select("output_id", F.posexplode("relations").alias("n", "x")).select("output_id", "n", "x.*", F.lit(0.9).alias("confidence"))
-    w = Window.partitionBy("relation_id").orderBy("output_id", "n")
-    return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "n")
+    return first_of(rows, "relation_id")
 
 
 def without_dangling(relations: DataFrame, entities: DataFrame) -> DataFrame:
