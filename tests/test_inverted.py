@@ -107,3 +107,20 @@ def test_no_text_is_read(spark, tmp_path):
     index = InvertedIndex.create(spark, str(tmp_path / "i"), docs, buckets=4)
     index.add(docs, 0)
     assert not [c for n in ("postings", "docs", "terms", "removed") for c in index.table(n).columns if c == "text"]
+
+
+def test_a_shard_is_made_where_it_is_read(spark, tmp_path):
+    import pyarrow as pa
+
+    from tideline.operators.inverted import inverted
+
+    docs = pa.table({"chunk_id": [7, 3, 5, 9], "w": ["b a b", " é ", None, ""], "lang": ["en", None, "de", "fr"]})
+    held, blocks = inverted(docs, 4, ["lang"])
+    assert [(r["term"], r["n"], [(p["chunk_id"], p["tf"], p["dl"]) for p in r["posts"]], r["max_tf"], r["min_dl"]) for r in blocks.to_pylist()] == [
+        ("a", 1, [(7, 1, 3)], 1, 3), ("b", 1, [(7, 2, 3)], 2, 3), ("é", 1, [(3, 1, 1)], 1, 1)]
+    assert [(r["doc"]["chunk_id"], r["doc"]["dl"], r["doc"]["terms"], r["doc"]["lang"]) for r in held.to_pylist()] == [(7, 3, "a b", "en"), (3, 1, "é", None), (5, 0, "", "de"), (9, 0, "", "fr")]
+    # No posting is moved to be written, and what a search moves is less than the postings of its terms.
+    frame = spark.createDataFrame([(i, "x y z " * 3, "en") for i in range(400)], SCHEMA).repartition(2)
+    index = InvertedIndex.create(spark, str(tmp_path / "i"), frame, buckets=4)
+    index.add(frame, 0)
+    assert {r["n"] for r in index.table("postings").filter("term <> ''").collect()} == {r["n"] for r in index.table("postings").groupBy("shard").agg(F.count("doc").cast("int").alias("n")).collect()}

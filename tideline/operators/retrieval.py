@@ -174,8 +174,11 @@ def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, n_cell
     return ranked(scored_cells(q, c, ["cell", "part", "block"], k), k).select("query_id", "chunk_id", "score", "rank")
 
 
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
 
 
 def reciprocal_ranks(lists: DataFrame, k: int = 60, top_k: int = 50) -> DataFrame:

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.sources.state import file_system, remove
 
 
-def known_as(spark: SparkSession, path: str, columns: list[str], partition: str, key: str, buckets: int, order: list[str] | tuple = ()) -> str:
+def known_as(spark: SparkSession, path: str, columns: list[str], partition: str, key: str | None, buckets: int, order: list[str] | tuple = ()) -> str:
     """The name under which the session knows the folder; its partitions are looked up.
 
-    columns: "name type", the partition column's too.
+    columns: "name type", the partition column's too. Without buckets (0) rows stay in the files of the tasks that made them.
     """
     name = "tideline_" + hashlib.md5(path.encode()).hexdigest()[:20]
     if not spark.catalog.tableExists(name):
         by_order = f"SORTED BY ({', '.join(order)}) " if order else ""
-        spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet PARTITIONED BY ({partition}) CLUSTERED BY ({key}) {by_order}INTO {buckets} BUCKETS LOCATION '{path}'")
+        dealt = f"CLUSTERED BY ({key}) {by_order}INTO {buckets} BUCKETS " if buckets else ""
+        spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet PARTITIONED BY ({partition}) {dealt}LOCATION '{path}'")
     fs, at = file_system(spark, path)
     fs.mkdirs(at)
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")  # other sessions may have written some
