@@ -218,3 +218,12 @@ def test_circular_on_branching_graphs(spark):
         schema = "src long, dst long"
         got = pj.circular(spark.createDataFrame(links, schema), spark.createDataFrame(asked, schema)).collect()
         assert len(got) == len(asked) and all(r["circular"] == is_circular(r["src"], r["dst"]) for r in got)
+
+
+def test_entities_of_some_types(spark):
+    docs = spark.createDataFrame([(1, "EH36 plate, see Ch.9 and Section 4.2, except DH32 of Pt.3. Crane of the oil tanker, 12 mm."), (2, ""), (3, None)], "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = gr.extract_entities(docs).cache()
+    for of in [("regulation_clause",), ("parameter", "steel_grade", "equipment", "ship_type")]:
+        some = gr.extract_entities(docs, of)
+        assert rows(some) == rows(whole.filter(F.col("etype").isin(*of))) != []

@@ -105,15 +105,18 @@ def relation_id(src: Column, dst: Column, kind: Column) -> Column:
     return F.md5(F.concat_ws(":", src, dst, kind))
 
 
-def extract_entities(docs: DataFrame) -> DataFrame:
-    """entity_id, name, etype, doc_id from (doc_id, text): all rules, exceptions left out, one row per name, type and document."""
+def extract_entities(docs: DataFrame, of: tuple[str, ...] | None = None) -> DataFrame:
+    """entity_id, name, etype, doc_id from (doc_id, text): all rules, exceptions left out, one row per name, type and document.
+
+    of: the types that are wanted; no rule depends on another, so the others' patterns aren't looked for.
+    """
     text = F.col("text")
     rules = [("steel_grade", spans(text, [lx.STEEL_GRADE])), ("regulation_clause", clause_spans(text)), ("equipment", spans(text, [lx.EQUIPMENT])), ("parameter", spans(text, lx.PARAMETERS)), ("ship_type", ship_spans(text))]
 
     def named(kind: str, found: Column) -> Column:
         return F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.trim(m["m"]).alias("name"), F.lit(kind).alias("etype")))
 
-    kinds = [named(*rule) for rule in rules]
+    kinds = [named(*rule) for rule in rules if of is None or rule[0] in of]
     found = F.transform(not_negated(text, F.concat(*kinds)), lambda m: F.struct(m["name"].alias("name"), m["etype"].alias("etype")))
     rows = docs.filter(F.trim("text") != "").select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.name", "x.etype")
     return rows.select(entity_id(F.col("name"), F.col("etype")).alias("entity_id"), "name", "etype", "doc_id")

@@ -78,12 +78,12 @@ _ALL2 = {"corpus2": "SELECT doc_id, concat(text, ' See Ch.9 and Section 4.2 too.
 
 @query("SELECT a.doc_id, a.entity_id AS src, b.entity_id AS dst, 'references' AS rtype, 1.0::DOUBLE AS confidence FROM ent a JOIN ent b ON a.doc_id = b.doc_id AND a.name < b.name WHERE a.etype = 'regulation_clause' AND b.etype = 'regulation_clause'", **_ALL2)
 def e8_clause_references(t):
-    return gr.clause_references(gr.cut(gr.extract_entities(t.corpus.withColumn("text", F.concat("text", F.lit(" See Ch.9 and Section 4.2 too."))))))
+    return gr.clause_references(gr.cut(gr.extract_entities(t.corpus.withColumn("text", F.concat("text", F.lit(" See Ch.9 and Section 4.2 too."))), ("regulation_clause",))))
 
 
 @query("SELECT p.doc_id, p.entity_id AS src, o.entity_id AS dst, 'constrains' AS rtype, 1.0::DOUBLE AS confidence FROM ent p JOIN ent o ON p.doc_id = o.doc_id AND o.etype IN ('steel_grade', 'equipment', 'ship_type') WHERE p.etype = 'parameter'", **_ALL)
 def e9_constraints(t):
-    return gr.constraints(gr.cut(gr.extract_entities(t.corpus)))
+    return gr.constraints(gr.cut(gr.extract_entities(t.corpus, ("parameter", "steel_grade", "equipment", "ship_type"))))
 
 
 @query("SELECT src, dst, md5(concat(src, ':', dst, ':', rtype)) AS relation_id FROM edges")
