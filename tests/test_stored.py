@@ -134,3 +134,23 @@ def test_stream(spark, table, tmp_path):
     want = upsert(rows(spark, range(30)).withColumn("load_no", F.lit(0)), rows(spark, range(20, 40), 1).withColumn("load_no", F.lit(1)))
     assert everything(ChunkTable(spark, table.path).rows()) == everything(want)
     assert ChunkTable(spark, table.path).about["done"] == [0, 1]
+
+
+def test_whole_rows_are_not_sorted(spark, table):
+    table.load(rows(spark, range(60)), 0)
+    table.compact()
+    table.load(rows(spark, range(0, 60, 7), 1), 1)
+    table.load(rows(spark, range(0, 60, 5), 2), 2)
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = table.rows()
+        n = found.count()
+        found.collect()
+        assert n == 60 and "Window" not in plan(found) and "Sort" not in plan(found) and "Exchange" not in plan(found)
+        table.delete_documents(spark.createDataFrame([(i,) for i in (0, 5, 5, 77)], "doc_id long"), 3)
+        left = {r["chunk_id"]: r["text"] for r in table.rows().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    mark = lambda i: 2 if i % 5 == 0 else 1 if i % 7 == 0 else 0
+    assert left == {f"c{i}": f"text {i} of {mark(i)}" for i in range(60) if i // 3 not in (0, 5)}

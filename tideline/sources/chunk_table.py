@@ -15,6 +15,10 @@ from tideline.sources.bucketed import known_as, write_all, write_partition
 from tideline.sources.state import State, bytes_under, remove
 
 
+#: Rows of a file of a load, about: what a task sorts to write it.
+FILE_ROWS = 65_536
+
+
 class ChunkTable:
     """path: a folder that all executors reach. State: base (its number), loads (not yet in the base), done (every load so far)."""
 
@@ -66,7 +70,9 @@ class ChunkTable:
 
     def delete_documents(self, doomed: DataFrame, number: int, by: str = "doc_id") -> DataFrame:
         """Remove all rows of the documents (by); returns (by, n_deleted), read from what was written."""
-        gone = self.rows().join(doomed.select(by).distinct(), by, "left_semi")
+        keys = self.rows().select(self.key, by).join(doomed.select(by).distinct(), by, "left_semi").select(self.key)
+        # Dealt as the table is, so that whole rows stay where they are and aren't sorted.
+        gone = self.rows().join(keys.repartition(self.buckets, self.key).hint("shuffle_hash"), self.key, "left_semi")
         self._write(gone.select(*self.columns, F.lit(True).alias("deleted")), number)
         return self.deleted(number, by)
 
@@ -79,8 +85,14 @@ class ChunkTable:
             return
         if self.about["done"] and number < max(self.about["done"]):
             raise ValueError(f"load {number} comes after load {max(self.about['done'])}")
-        first = Window.partitionBy(self.key).orderBy(*(F.desc(c) for c in self.columns if c != self.key))
-        one = rows.filter(F.col(self.key).isNotNull()).repartition(self.buckets, self.key).withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
+        rows = rows.filter(F.col(self.key).isNotNull())
+        keys = rows.groupBy(self.key).agg(F.count("*").alias("n"))
+        n, most = keys.agg(F.sum("n"), F.max("n")).first()
+        # A multiple of the buckets, so that a task writes files of one bucket.
+        one = rows.repartition(self.buckets * max(1, -(-(n or 0) // (self.buckets * FILE_ROWS))), self.key)
+        if (most or 0) > 1:
+            first = Window.partitionBy(self.key).orderBy(*(F.desc(c) for c in self.columns if c != self.key))
+            one = one.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
         write_partition(self._deltas(), f"{self.path}/delta", one, "load_no", number)
         self._commit(loads=[*self.about["loads"], number], done=[*self.about["done"], number])
 
@@ -108,12 +120,15 @@ class ChunkTable:
         deltas = latest = None
         if self.about["loads"]:
             deltas = self.spark.table(self._deltas()).filter(F.col("load_no").isin(self.about["loads"]))
-            last = F.row_number().over(Window.partitionBy(self.key).orderBy(F.desc("load_no")))
-            latest = deltas.withColumn("r", last).filter("r = 1")
+            latest = deltas
+            # Hashed sides of keys alone: whole rows are neither moved nor sorted. A load has a key once.
+            newest = deltas.groupBy(F.col(self.key).alias("__key")).agg(F.max("load_no").alias("__load")).hint("shuffle_hash")
+            if len(self.about["loads"]) > 1:
+                latest = deltas.join(newest, (F.col(self.key) == F.col("__key")) & (F.col("load_no") >= F.col("__load")), "left_semi")
             parts.append(latest.filter(~F.col("deleted")).filter(fits).select(*self.columns))
         if self.about["base"]:
             base = self.spark.table(self._base(self.about["base"])).filter(fits).select(*self.columns)
-            parts.append(base if deltas is None else base.join(deltas.select(self.key), self.key, "left_anti").select(*self.columns))
+            parts.append(base if deltas is None else base.join(newest, F.col(self.key) == F.col("__key"), "left_anti").select(*self.columns))
         if not parts:
             return self.spark.createDataFrame([], ", ".join(self.about["schema"]))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
