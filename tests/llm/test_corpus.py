@@ -461,6 +461,27 @@ def caught(spark, texts, words):
     return [len(w & got[i]) / len(w) for i, w in enumerate(words) if w]
 
 
+def test_rows_travel_by_part(spark):
+    """Rows of a part come back whole and as they were, also where a part goes on in the next batch; a row holds many windows."""
+    rng = np.random.default_rng(4)
+    sizes = (8, 4, 1)
+    rows = [rng.integers(-(2**63), 2**63, 5000), rng.integers(0, 2**32, 5000), rng.integers(0, 256, 5000)]
+    part = rng.integers(0, 7, 5000)
+    sent = pa.Table.from_batches([b for lo in range(0, 5000, 1000) for b in substrings.dealt([(part[lo : lo + 1000], *(r[lo : lo + 1000] for r in rows))], sizes)])
+    assert sent.num_rows == 35
+    got = list(substrings.gathered(sent.sort_by("part").to_batches(4), sizes))
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*got, strict=True)))) == sorted(zip(*(r.tolist() for r in rows)))
+    of = dict(zip(zip(*(r.tolist() for r in rows)), part.tolist()))
+    seen = [{of[k] for k in zip(*(x.tolist() for x in piece))} for piece in got]
+    assert sum(len(s) for s in seen) == 7  # no part comes in two pieces
+    words = random.Random(3)
+    docs = table(spark, [prose(words, 2000) for _ in range(60)]).repartition(1)
+    held = substrings.windows(docs)
+    moved, there = held.agg(F.count("*"), F.sum(F.length("b0"))).first()
+    assert there > 3 * moved
+    assert substrings.stretches(substrings.meetings(held)).count() == 0
+
+
 def test_decoys_hide_no_passage(spark):
     rng = random.Random(10)
     word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
