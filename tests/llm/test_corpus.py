@@ -392,6 +392,17 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert sum(compared) < 12 * len(texts), compared  # all pairs: 130,000
 
 
+def test_texts_meet_in_one_of_the_groups_that_they_share(spark):
+    rows = spark.createDataFrame([(g, i, 100, 0, 0, 0, 0) for g in range(12) for i in range(30)], "group long, id long, n_words long, p0 long, p1 long, p2 long, p3 long")
+    members = near_dedup.grouped(rows).withColumns({"label": F.col("id"), "pivot": F.lit(True)})
+    assert near_dedup.met(members).count() == near_dedup.met(members).distinct().count() == 30 * 29 // 2  # in every group: 12 times as many
+    # A shared group that is no longer among the last ones still leaves the meeting in the first.
+    rows = spark.createDataFrame([(g, i, 100, 0, 0, 0, 0) for i in range(2) for g in (0, 100, *range(1 + i, 90, 2))], "group long, id long, n_words long, p0 long, p1 long, p2 long, p3 long")
+    rows = rows.unionByName(rows.filter("group > 0 and group < 100").withColumn("id", F.col("id") + 2))
+    found = near_dedup.met(near_dedup.grouped(rows).withColumns({"label": F.col("id"), "pivot": F.lit(True)}))
+    assert {tuple(r) for r in found.collect()} == {(0, 1), (0, 2), (1, 3)}
+
+
 def test_one_id_with_several_texts(spark):
     a, b = ("one two three four five six seven eight nine ten", "quite another text of as many words as that one")
     rows = table(spark, [a, b, a, a]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 5).when(F.col("doc_id") == 2, 4).otherwise(4))
