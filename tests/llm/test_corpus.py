@@ -403,6 +403,21 @@ def test_texts_meet_in_one_of_the_groups_that_they_share(spark):
     assert {tuple(r) for r in found.collect()} == {(0, 1), (0, 2), (1, 3)}
 
 
+def joins(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+
+
+def test_only_texts_that_are_wanted_are_shuffled(spark):
+    docs = table(spark, [f"text {i}" for i in range(50)])
+    wanted = near_dedup._rows(docs).filter("doc_id % 10 = 0").select("doc_id", "id")
+    found = near_dedup.bodies(docs, wanted.union(wanted))
+    # Filters by the bitmap stand below the join.
+    assert "getbit" not in joins(found)[0] and sum("__bucket" in j for j in joins(found)) == 1
+    assert {r["id"] for r in found.collect()} == {r["id"] for r in wanted.collect()} and found.count() == 5
+    # Texts without a passage to cut don't take part in the join with the cuts.
+    assert sum("__doc" in j for j in joins(substrings.without_passages(docs))) == 1
+
+
 def test_one_id_with_several_texts(spark):
     a, b = ("one two three four five six seven eight nine ten", "quite another text of as many words as that one")
     rows = table(spark, [a, b, a, a]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 5).when(F.col("doc_id") == 2, 4).otherwise(4))
