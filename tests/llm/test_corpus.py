@@ -418,6 +418,44 @@ def test_only_texts_that_are_wanted_are_shuffled(spark):
     assert sum("__doc" in j for j in joins(substrings.without_passages(docs))) == 1
 
 
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_no_text_is_shuffled_for_its_words(spark):
+    """Only what tells the bitmap is; copies under other ids and repeated rows don't come twice."""
+    docs = table(spark, [f"text {i % 25}" for i in range(50)])
+    wanted = near_dedup._rows(docs).filter("doc_id < 25").select("doc_id", "id")
+    assert not [e for e in exchanges(near_dedup.bodies(docs, wanted)) if re.search(r"\bid#|doc_id#", e)]
+    for rows, ids in ((docs, wanted), (docs.union(docs), wanted), (docs, near_dedup._rows(docs).select("doc_id", "id"))):
+        found = near_dedup.wanted_bodies(rows, ids).collect()
+        assert len(found) == len({r["id"] for r in found}) == 25
+
+
+def test_rows_that_are_alone_are_not_shuffled_whole(spark):
+    rows = spark.createDataFrame([(g, i, 100, 0, 0, 0, 0) for i in range(40) for g in (i // 2, 1000 + i)], "group long, id long, n_words long, p0 long, p1 long, p2 long, p3 long")
+    found = near_dedup.grouped(rows)
+    assert sum("__bucket" in j for j in joins(found)) == 1
+    assert sorted((r["group"], r["id"], r["n"], r["weight"]) for r in found.collect()) == [(i // 2, i, 2, 2) for i in range(40)]
+
+
+def test_small_groups_are_paired_at_once(spark, monkeypatch):
+    """Texts of one frame that aren't similar, but for two: every small group is exhausted in one round of comparisons."""
+    rng = random.Random(21)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        frame = word(70)
+        texts += [" ".join(frame + word(30)) for _ in range(40)]
+    texts[5] = " ".join(texts[2].split()[:-1] + ["other"])
+    rounds = []
+    plain = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, bodies: (rounds.append(pairs.count()), plain(pairs, bodies))[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [2 if i == 5 else i for i in range(len(texts))]
+    assert len(rounds) <= 2, rounds  # the centers, and all other pairs
+
+
 def test_one_id_with_several_texts(spark):
     a, b = ("one two three four five six seven eight nine ten", "quite another text of as many words as that one")
     rows = table(spark, [a, b, a, a]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 5).when(F.col("doc_id") == 2, 4).otherwise(4))
